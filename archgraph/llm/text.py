@@ -137,14 +137,11 @@ class Words:
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all windows of k words inside a row, and their row boundaries."""
-        count = np.maximum(np.diff(self.row_at) - (k - 1), 0)
-        bounds = np.concatenate([[0], np.cumsum(count)])
-        if not bounds[-1]:
-            return np.zeros(0, np.uint64), bounds
-        sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(self.h * powers(self.n), out=sums[1:])
-        begin = np.arange(bounds[-1]) - np.repeat(bounds[:-1], count) + np.repeat(self.row_at[:-1], count)
-        return mix((sums[begin + k] - sums[begin]) * inverse_powers(self.n)[begin] + U64(k)), bounds
+        return windows(self.h, self.row_at, k)
+
+    def segments(self, after: np.ndarray | None = None) -> Segments:
+        """The words in runs: a run ends with its line, its row, and after each word that `after` marks."""
+        return Segments(self, after)
 
     def per_row(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each row a mask over the bytes marks."""
@@ -153,6 +150,42 @@ class Words:
         return sums[self.at[1:]] - sums[self.at[:-1]]
 
 
+def windows(h: np.ndarray, row_at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of k consecutive items of a row, and their row boundaries."""
+    count = np.maximum(np.diff(row_at) - (k - 1), 0)
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    if not bounds[-1]:
+        return np.zeros(0, np.uint64), bounds
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(len(h)), out=sums[1:])
+    begin = np.arange(bounds[-1]) - np.repeat(bounds[:-1], count) + np.repeat(row_at[:-1], count)
+    return mix((sums[begin + k] - sums[begin]) * inverse_powers(len(h))[begin] + U64(k)), bounds
+
+
+class Segments:
+    """Runs of words: first word of each, number of words, hash of the words, and rows."""
+
+    def __init__(self, words: Words, after: np.ndarray | None):
+        n = words.n
+        lines = np.cumsum(words.buf == 10)
+        fresh = np.zeros(n, bool)
+        if n:
+            line = lines[words.start]
+            fresh[1:] = line[1:] != line[:-1]
+            fresh[words.row_at[:-1][words.row_at[:-1] < n]] = True
+            if after is not None:
+                fresh[1:] |= after[:-1]
+        self.first = np.flatnonzero(fresh)
+        self.size = np.diff(np.append(self.first, n))
+        self.row_at = np.searchsorted(self.first, words.row_at)
+        self.line = line[self.first] if n else np.zeros(0, np.int64)
+        if n:
+            place = np.arange(n) - np.repeat(self.first, self.size)
+            self.h = mix(np.add.reduceat(words.h * powers(int(self.size.max()))[place], self.first) + self.size.astype(np.uint64) * U64(0xA24BAED4963EE407))
+        else:
+            self.h = np.zeros(0, np.uint64)
+
+
 def shingle_sets(words: Words, k: int = 3) -> list[np.ndarray]:
     """Each row's distinct k-word shingles as sorted hashes; with fewer words, the whole sequence is one."""
     grams, bounds = words.windows(k)
