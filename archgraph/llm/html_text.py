@@ -139,28 +139,38 @@ def describe(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
 _LONG = "In the valley below the old bridge a small market opens every week, and people from the villages bring cheese, bread and wool to sell there before noon."
 _MORE = "Nobody remembers when it began, but the records of the parish mention it for the first time in the year of the great flood, together with a complaint."
 _MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News and stories</a></li><li><a href="/c">Contact</a></li></ul>'
-#: Sample pages; blocks whose tag has the attribute main are main text.
+#: Sample pages; blocks whose tag has the attribute main are main text. Each is used with paragraphs of several lengths.
 SAMPLES = [
-    f'<html><body><nav>{_MENU}</nav><div class="ad">Buy two and get one free this week only.</div><article><h1 main>The market</h1><p main>{_LONG}<p main>{_MORE}</article><footer>&copy; 2020 Valley News. All rights reserved by the owners.</footer></body></html>',
-    f'<body><header><a href="/">Valley</a> <span>News every day</span></header><main><h1 main>Short</h1><p main>Yes.</p><p main>{_LONG}</p></main><aside><h3>Most read</h3><p>{_MORE}</p></aside><footer>Imprint and terms</footer></body>',
-    f'<body><div class="cookie-notice"><p>We use cookies to improve this site and to show you offers that fit. <a href="#">Learn more</a></p></div><div class="content"><h2 main>Market days</h2><p main>{_LONG}</p><p main>{_MORE}</p></div><div class="sidebar"><p>{_MORE}</p><a href="/x">Archive of all stories</a></div></body>',
-    f'<body><div id="menu">{_MENU}</div><div><h1 main>Wool</h1><p main>{_LONG} See <a href="/w">wool</a> too.</p><p main>{_MORE}</p></div><div class="comments"><h3>Comments</h3><p>{_LONG}</p><p>Nice story, thank you.</p></div></body>',
-    f'<body><article><h1 main>Bread</h1><p main>Bread.</p><ul><li main>rye</li><li main>wheat</li></ul><blockquote main>{_MORE}</blockquote><div class="share"><a href="/s">Share this</a></div><section class="comments"><p>{_MORE}</p></section></article><form><p>Subscribe to our weekly letter</p><label>Your mail</label></form></body>',
-    f'<body>{_MENU}<p main>{_LONG}</p><p main>{_MORE}</p><p main>{_LONG} And so it goes on until the snow comes.</p><p><a href="/1">Next story in this series</a></p><p><a href="/2">Previous story</a> <a href="/3">All</a></p></body>',
-    f'<body><article><p main>Only a line.</p></article><div class="banner">Sale ends on Sunday evening at eight.</div><footer><p>{_MORE}</p></footer></body>',
-    f'<body><article><p main>{_MORE}</p><aside><p>{_LONG}</p></aside><p main>An end.</p><p main><a href="/source">The source of this story in the archive</a></p></article><div>Back to top</div><div><a href="/t">Terms</a> <a href="/p">Privacy</a></div></body>',
-    f'<body><div><a href="/l">Log in</a></div><div><p main>{_LONG}</p></div><div><p main>{_MORE} {_LONG}</p></div><div>Printed by Valley Press</div></body>',
+    '<html><body><nav>@MENU@</nav><div class="ad">Buy two and get one free this week only.</div><article><h1 main>The market</h1><p main>@LONG@<p main>@MORE@</article><footer>&copy; 2020 Valley News. All rights reserved by the owners.</footer></body></html>',
+    '<body><header><a href="/">Valley</a> <span>News every day</span></header><main><h1 main>Short</h1><p main>Yes.</p><p main>@LONG@</p></main><aside><h3>Most read</h3><p>@MORE@</p></aside><footer>Imprint and terms</footer></body>',
+    '<body><div class="cookie-notice"><p>We use cookies to improve this site and to show you offers that fit. <a href="#">Learn more</a></p></div><div class="content"><h2 main>Market days</h2><p main>@LONG@</p><p main>@MORE@</p></div><div class="sidebar"><p>@MORE@</p><a href="/x">Archive of all stories</a></div></body>',
+    '<body><div id="menu">@MENU@</div><div><h1 main>Wool</h1><p main>@LONG@ See <a href="/w">wool</a> too.</p><p main>@MORE@</p></div><div class="comments"><h3>Comments</h3><p>@LONG@</p><p>Nice story, thank you.</p></div></body>',
+    '<body><article><h1 main>Bread</h1><p main>Bread.</p><ul><li main>rye</li><li main>wheat</li></ul><blockquote main>@MORE@</blockquote><div class="share"><a href="/s">Share this</a></div><section class="comments"><p>@MORE@</p></section></article><form><p>Subscribe to our weekly letter</p><label>Your mail</label></form></body>',
+    '<body>@MENU@<p main>@LONG@</p><p main>@MORE@</p><p main>@LONG@ And so it goes on until the snow comes.</p><p><a href="/1">Next story in this series</a></p><p><a href="/2">Previous story</a> <a href="/3">All</a></p></body>',
+    '<body><article><p main>Only a line.</p></article><div class="banner">Sale ends on Sunday evening at eight.</div><footer><p>@MORE@</p></footer></body>',
+    '<body><article><p main>@MORE@</p><aside><p>@LONG@</p></aside><p main>An end.</p><p main><a href="/source">The source of this story in the archive</a></p></article><div>Back to top</div><div><a href="/t">Terms</a> <a href="/p">Privacy</a></div></body>',
+    '<body><article><h1 main>Cheese</h1><p main>@LONG@</p><p main>@MORE@</p></article></body>',
+    '<body><nav>@MENU@</nav><article><p main>@LONG@</p><p main>Cheese.</p></article></body>',
+    '<body><p main>@LONG@</p><p main>@MORE@</p></body>',
+    '<body>@MENU@<p main>@LONG@</p></body>',
+    '<body><div>Valley News</div><div>Monday</div><div><p main>@LONG@</p><p main>@MORE@</p></div></body>',
+    '<body><main><p main>@LONG@</p></main><div>All rights reserved</div></body>',
+    '<body><div><a href="/l">Log in</a></div><article><p main>@MORE@</p></article><p>Valley Press</p><p>Since 1901</p></body>',
+    '<body><div><a href="/l">Log in</a></div><div><p main>@LONG@</p></div><div><p main>@MORE@ @LONG@</p></div><div>Printed by Valley Press</div></body>',
 ]
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     """The small labelled table: features of the samples' blocks, and whether they are main text."""
     x, y = [], []
-    for page in SAMPLES:
-        marked = blocks(re.sub(r"<(\w+) main>", r"<\1>\x01 ", page))
-        plain = blocks(page.replace(" main>", ">"))
-        x.append(describe(plain))
-        y.extend(b[0].startswith("\x01") for b in marked)
+    for sample in SAMPLES:
+        # Only inside an article are a few words enough to be main text.
+        for times in (0, 1, 3, 10) if "<article" in sample or "<main" in sample else (1, 3, 10):
+            long, more = (" ".join([t] * times) if times else " ".join(t.split()[:3]) for t in (_LONG, _MORE))
+            page = sample.replace("@LONG@", long).replace("@MORE@", more).replace("@MENU@", _MENU)
+            marked = blocks(re.sub(r"<(\w+) main>", "<\\1>\x01 ", page))
+            x.append(describe(blocks(page.replace(" main>", ">"))))
+            y.extend(b[0].startswith("\x01") for b in marked)
     return np.concatenate(x), np.array(y)
 
 
