@@ -1,16 +1,18 @@
 """Source trees: files to graph, with targets resolved by joins.
 
-Files are read by tasks (binaryFile) and parsed in mapInPandas; names are resolved over all
+Files are read and parsed by tasks; names are resolved over all
 files at once by an equi-join on dotted suffixes.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +71,28 @@ def supported(path: Column, excludes: tuple[str, ...] = ()) -> Column:
 
 
 def files(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """(path relative to root, content) of the source files below root; patterns of an ignore file are passed as excludes."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file://")
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), f"^{base.replace('.', '[.]')}/", "")
-    return raw.select(path.alias("path"), "content").where(supported(F.col("path"), excludes))
+    """(path relative to root, content) of the source files below root; patterns of an ignore file are passed as excludes.
+
+    The driver lists the tree, tasks read it. Spark's own file sources leave out names that begin
+    with an underscore, and so `__init__.py`.
+    """
+    from archgraph.store import arm
+
+    arm(spark)
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    store, base = fs.FileSystem.from_uri(uri)
+    base = base.rstrip("/")
+    found = [f.path[len(base) + 1 :] for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and os.path.splitext(f.path)[1] in REGISTRY]
+    paths = spark.createDataFrame([(f,) for f in sorted(found)], "path string").where(supported(F.col("path"), excludes))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_file(f"{base.rstrip('/')}/{path}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    return paths.repartition(max(1, min(len(found) // 16, 512))).mapInArrow(read, "path string, content binary")
 
 
 def _rows(path: str, found: Extract) -> Iterator[dict]:
@@ -92,17 +111,16 @@ def extract(sources: DataFrame, packages: dict[str, str] | None = None) -> DataF
 
     arm(sources.sparkSession)
     registry = dict(REGISTRY)
-    columns = [x.split()[0] for x in _EXTRACTED.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"int": pa.int32(), "boolean": pa.bool_()}
+        schema = pa.schema([(x.split()[0], kinds.get(x.split()[1], pa.string())) for x in _EXTRACTED.split(", ")])
         for batch in batches:
-            rows = [r for path, content in zip(batch["path"], batch["content"], strict=True) for r in _rows(path, registry["." + path.rpartition(".")[2]](bytes(content), path, module_name(path, packages)))]
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("line", "end_line", "cc"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = registry["." + path.rpartition(".")[2]](content, path, module_name(path, packages))
+                yield pa.RecordBatch.from_pylist(list(_rows(path, found)), schema=schema)
 
-    return sources.mapInPandas(run, _EXTRACTED)
+    return sources.select("path", "content").mapInArrow(run, _EXTRACTED)
 
 
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from archgraph.model import Graph
 from archgraph.operators.history import diff_nodes
-from archgraph.sources import stored
+from archgraph.sources import code, stored
 from archgraph.sources.code import scan, supported
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -30,6 +30,8 @@ def watch(spark: SparkSession, root: str, store: str, checkpoint: str, on_change
     def batch(changed: DataFrame, n: int) -> None:
         if changed.isEmpty():
             return
+        # The file source leaves out names with a leading underscore: these are read again.
+        changed = changed.union(code.files(spark, root).where(F.col("path").rlike("(^|/)_[^/]*$")))
         before = None
         if n:
             try:
