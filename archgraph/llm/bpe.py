@@ -209,22 +209,25 @@ def _merge_long(symbols: list[int], pairs: Pairs) -> list[int]:
     return [s for s, x in zip(sym, dead, strict=False) if not x]
 
 
-def merge(slices: list[list[int]], pairs: Pairs) -> list[list[int]]:
-    """Merges each list of symbols: always the pair of lowest rank, the leftmost of equals."""
-    out: list[list[int]] = [[]] * len(slices)
-    sizes = np.array([len(s) for s in slices])
+def merge(flat: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Merges sequences of symbols that lie one after the other: always the pair of lowest rank, the leftmost of equals.
+
+    Returns the merged symbols in the same way. Sequences of about one length are merged
+    together, a step of each at a time; long ones have a heap each.
+    """
+    begin = np.cumsum(sizes) - sizes
+    kept = np.zeros(len(sizes), np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     for low, width in ((0, 4), (4, 8), (8, 16), (16, 32), (32, 64)):
         rows = np.flatnonzero((sizes > low) & (sizes <= width))
         if not len(rows):
             continue
-        S = np.full((len(rows), width + 1), -1, np.int32)
-        flat = np.fromiter((x for i in rows for x in slices[i]), np.int32)
-        size = sizes[rows]
-        S[np.repeat(np.arange(len(rows)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+        column = np.arange(width + 1)
+        inside = column < sizes[rows][:, None]
+        S = np.where(inside, flat[np.minimum(begin[rows][:, None] + column, len(flat) - 1)], -1).astype(np.int32)
         slot = pairs.find(S[:, :-1].ravel(), S[:, 1:].ravel())
         R = pairs.rank[slot].reshape(len(rows), width)
         live = np.arange(len(rows))
-        column = np.arange(width + 1)
         while len(live):
             m = R[live].argmin(axis=1)
             go = R[live, m] != NONE
@@ -246,12 +249,18 @@ def merge(slices: list[list[int]], pairs: Pairs) -> list[list[int]]:
             if len(inner):
                 r[inner, m[inner] - 1] = pairs.rank[pairs.find(s[inner, m[inner] - 1], s[inner, m[inner]])]
             S[live], R[live] = s, r
-        kept = (S >= 0).sum(axis=1)
-        for i, row, n in zip(rows.tolist(), S.tolist(), kept.tolist(), strict=True):
-            out[i] = row[:n]
+        kept[rows] = (S >= 0).sum(axis=1)
+        parts.append((rows, S[S >= 0]))
     for i in np.flatnonzero(sizes > 64).tolist():
-        out[i] = _merge_long(slices[i], pairs)
-    return out
+        done = np.array(_merge_long(flat[begin[i] : begin[i] + sizes[i]].tolist(), pairs), np.int32)
+        kept[i] = len(done)
+        parts.append((np.array([i]), done))
+    at = np.cumsum(kept) - kept
+    out = np.empty(int(kept.sum()), np.int32)
+    for rows, values in parts:
+        n = kept[rows]
+        out[np.repeat(at[rows], n) + np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)] = values
+    return out, kept
 
 
 class ByteBPE:
@@ -261,7 +270,8 @@ class ByteBPE:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.token = {v: k for k, v in ranks.items()}
-        self.byte = [ranks[bytes([i])] for i in range(256)]
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.shown = [b"%d " % i for i in range(max(self.token) + 1)]
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         self.pairs = Pairs(left, right, rank, rank)
@@ -271,9 +281,14 @@ class ByteBPE:
     def learn(self, new: list[bytes]) -> None:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
-        byte = self.byte
-        for piece, ids in zip(new, merge([[byte[x] for x in p] for p in new], self.pairs), strict=True):
-            self.cache[piece] = b" ".join(b"%d" % i for i in ids) + b" "
+        raw = np.frombuffer(b"".join(new), np.uint8)
+        ids, sizes = merge(self.byte[raw], np.fromiter(map(len, new), np.int64, len(new)), self.pairs)
+        shown = list(map(self.shown.__getitem__, ids.tolist()))
+        ends = np.cumsum(sizes).tolist()
+        start = 0
+        for piece, end in zip(new, ends, strict=True):
+            self.cache[piece] = b"".join(shown[start:end])
+            start = end
 
     def encode_all(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text in decimal, a space behind each."""

@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from archgraph.llm.text import chunks
 
 CAPACITY, END = 4096, 1
 #: A worker's cache of tokenised words starts anew beyond so many.
-CACHE = 400_000
+CACHE = 800_000
 #: Nodes of the search for one filling, and branches over fillings; beyond, the best found so far stands.
 FILL_NODES, BRANCHES = 1000, 16
 
@@ -62,8 +63,8 @@ class WordBPE:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         char = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.inner = [vocab[char[b]] for b in range(256)]
-        self.last = [vocab[char[b] + suffix] for b in range(256)]
+        self.inner = np.array([vocab[char[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[char[b] + suffix] for b in range(256)], np.int32)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -72,22 +73,34 @@ class WordBPE:
             return text.split()
         return self._WORD.findall(text)
 
-    def learn(self, new: set[str]) -> None:
-        cut_up = []
-        for word in new:
-            plain = word if word.isascii() else unicodedata.normalize("NFC", word)
-            plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)
-            cut_up.append(self._PIECE.findall(plain))
-        unseen = list({p for ps in cut_up for p in ps}.difference(self.pieces))
+    def cut_up(self, word: str) -> tuple[str, ...]:
+        """The pieces of a word that are merged each for itself."""
+        plain = word if word.isascii() else unicodedata.normalize("NFC", word)
+        plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)
+        if plain.isalpha():
+            return (plain,)
+        if plain[-1] in ".," and plain[:-1].isalpha():
+            return (plain[:-1], plain[-1])
+        return tuple(self._PIECE.findall(plain))
+
+    def learn(self, new: list[str]) -> None:
+        cut_up = list(map(self.cut_up, new))
+        unseen = list(set(chain.from_iterable(cut_up)).difference(self.pieces))
         if len(self.pieces) + len(unseen) > CACHE:
             self.pieces.clear()
-            unseen = list({p for ps in cut_up for p in ps})
-        coded = [p.encode() for p in unseen]
-        inner, last = self.inner, self.last
-        for p, ids in zip(unseen, merge([[*(inner[b] for b in c[:-1]), last[c[-1]]] for c in coded], self.pairs), strict=True):
-            self.pieces[p] = np.array(ids, "<u4").tobytes()
-        for word, ps in zip(new, cut_up, strict=True):
-            self.words[word] = b"".join(map(self.pieces.__getitem__, ps))
+            unseen = list(set(chain.from_iterable(cut_up)))
+        if unseen:
+            coded = [p.encode() for p in unseen]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            raw = np.frombuffer(b"".join(coded), np.uint8)
+            symbols = self.inner[raw]
+            ends = np.cumsum(sizes) - 1
+            symbols[ends] = self.last[raw[ends]]
+            ids, kept = merge(symbols, sizes, self.pairs)
+            packed, at = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(kept)).tolist()]
+            self.pieces.update(zip(unseen, map(packed.__getitem__, map(slice, at, at[1:])), strict=False))
+        known = self.pieces
+        self.words.update(zip(new, (known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in cut_up), strict=True))
 
     def encode_all(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -98,7 +111,7 @@ class WordBPE:
             if len(self.words) + len(new) > CACHE:
                 self.words.clear()
                 new = every
-            self.learn(new)
+            self.learn(list(new))
         for words in rows:
             yield b"".join(map(self.words.__getitem__, words))
 
