@@ -1,9 +1,9 @@
 """Substring dedup: digests of lines and sentences, grouped over the whole corpus.
 
-A unit is a line, cut further behind sentences of at least four words (a word ending in one
-of . ? ! alone), so that a passage inside a line is found too. A unit's identity is its words,
+A unit is a line, cut further behind clauses of at least four words (those that end in one of
+. ? ! , ; : alone), so that a passage inside a line is found too. A unit's identity is its words,
 A-Z in lower case. Units rank by (doc_id, place); the earliest of equal units stays. Of the
-later ones, runs of neighbours with 25 words or more are removed, so that short sentences
+later ones, runs of neighbours with 25 words or more are removed, so that short clauses
 which two documents have by chance do no harm. What is removed reaches from the end of the
 word before to the end of the run; its offsets in the original text are kept as spans.
 
@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 from archgraph.llm.store import arm, cut, table
 from archgraph.llm.text import Segments, Words, chunks, list_array, signed
 
-SENTENCE_WORDS, RUN_WORDS = 4, 25
+CLAUSE_WORDS, RUN_WORDS = 4, 25
 _STOP = np.zeros(256, bool)
-_STOP[[0x2E, 0x3F, 0x21]] = True
+_STOP[[ord(c) for c in ".?!,;:"]] = True
 
 
 def units(words: Words) -> Segments:
@@ -36,7 +36,7 @@ def units(words: Words) -> Segments:
     wide = words.end - words.start > 1
     ends &= ~(wide & _STOP[words.buf[np.maximum(words.end - 2, 0)]])
     raw = words.segments(ends)
-    return words.segments(ends & (np.repeat(raw.size, raw.size) >= SENTENCE_WORDS))
+    return words.segments(ends & (np.repeat(raw.size, raw.size) >= CLAUSE_WORDS))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +123,13 @@ l9_tok AS (
   SELECT doc_id, tok, i, sum(len(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, regexp_extract(tok, '[^\x20\x09-\x0D]+$') AS w
   FROM (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS t FROM {source}))
 ), l9_end AS (
-  SELECT *, i = 1 OR contains(tok, chr(10)) AS nl, lag(regexp_matches(w, '(^|[^.?!])[.?!]$'), 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM l9_tok
+  SELECT *, i = 1 OR contains(tok, chr(10)) AS nl, lag(regexp_matches(w, '(^|[^.?!,;:])[.?!,;:]$'), 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM l9_tok
 ), l9_raw AS (
   SELECT *, sum(CASE WHEN nl OR stop THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS raw FROM l9_end
 ), l9_size AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id, raw) AS size FROM l9_raw
 ), l9_cut AS (
-  SELECT *, nl OR (stop AND lag(size) OVER (PARTITION BY doc_id ORDER BY i) >= {SENTENCE_WORDS}) AS fresh FROM l9_size
+  SELECT *, nl OR (stop AND lag(size) OVER (PARTITION BY doc_id ORDER BY i) >= {CLAUSE_WORDS}) AS fresh FROM l9_size
 ), l9_unit AS (
   SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l9_cut
 ), l9_units AS (
