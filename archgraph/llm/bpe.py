@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, pre_tokenizers
 
 from archgraph.llm.store import arm, table
 from archgraph.llm.text import chunks
@@ -120,6 +121,11 @@ def _classes() -> np.ndarray:
             out[i] = LETTER
         elif c == "N":
             out[i] = NUMBER
+    # Code points newer than this Python's tables, as far as an installed library knows them.
+    newer = "".join(chr(i) for i in range(0x33480) if unicodedata.category(chr(i)) == "Cn")
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        for c, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(newer):
+            out[ord(c)] = kind
     for a, b in ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
         out[a : b + 1] = RUN
     return out

@@ -33,6 +33,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, pre_tokenizers
 
 from archgraph.llm.bpe import Pairs, merge
 from archgraph.llm.store import arm, cut, table
@@ -48,7 +49,8 @@ FILL_NODES, BRANCHES = 1000, 16
 class WordBPE:
     """Ids of a `tokenizers` file whose words are lower-cased and end in a suffix, as packed bytes by word."""
 
-    _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _PIECE = regex.compile(_PATTERN)
     _WORD = re.compile(r"[^ \t\n\r\v\f]+")
     _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -65,6 +67,7 @@ class WordBPE:
         char = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.inner = np.array([vocab[char[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[char[b] + suffix] for b in range(256)], np.int32)
+        self._split = pre_tokenizers.Split(Regex(self._PATTERN), "removed", invert=True)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -81,6 +84,9 @@ class WordBPE:
             return (plain,)
         if plain[-1] in ".," and plain[:-1].isalpha():
             return (plain[:-1], plain[-1])
+        if not plain.isascii() and any(unicodedata.category(c) == "Cn" for c in plain):
+            # Code points newer than this Python's tables: the library's own tables tell.
+            return tuple(plain[a:b] for _, (a, b) in self._split.pre_tokenize_str(plain))
         return tuple(self._PIECE.findall(plain))
 
     def learn(self, new: list[str]) -> None:

@@ -152,7 +152,8 @@ def test_encode_keeps_offsets(spark):
 
 
 def test_media_round_trip_and_search():
-    raw = bytes(random.Random(0).randrange(256) for _ in range(6400))
+    rng = random.Random(0)
+    raw = bytes(rng.randrange(256) for _ in range(6400))
     assert media.from_wav(media.to_wav(raw)) == raw
     whole = media.fingerprint(np.frombuffer(raw, np.uint8))
     part = media.fingerprint(np.frombuffer(raw[media.HOP * 6 :], np.uint8))
