@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.model import COUPLING, Graph
-from archgraph.operators.analytics import weak_components
+from archgraph.operators.analytics import components, weak_components
 from archgraph.operators.select import is_entry_point
 from archgraph.operators.traverse import ancestry
 from archgraph.store import cut
@@ -54,18 +54,17 @@ def dit(g: Graph) -> DataFrame:
     below a cycle counts the chains that don't enter it.
     """
     up = cut(g.edges.where("rel = 'inherits' and source <> target").select("source", "target").distinct(), "inherits")
-    vertices = up.select(F.col("source").alias("name")).union(up.select("target")).distinct()
+    vertices = cut(up.select(F.col("source").alias("name")).union(up.select("target")).distinct(), "vertices")
     left, links, done, level = cut(vertices, "left"), up, None, 0
     while not left.isEmpty():
         ready = cut(left.join(links.select(F.col("source").alias("name")), "name", "left_anti").select("name", F.lit(level).cast("long").alias("dit")), "ready")
         if ready.isEmpty():
-            # Only cycles and what hangs below them are left: cut the edges inside strong components.
-            from archgraph.operators.analytics import components
-
+            # Only cycles and what hangs below them are left: without the edges inside strong components, anew.
             sub = Graph(g.nodes, links.select("source", F.lit("inherits").alias("rel"), "target"))
             scc = cut(components(sub), "components")
             joined = links.join(scc.withColumnRenamed("name", "source").withColumnRenamed("scc", "s"), "source").join(scc.withColumnRenamed("name", "target").withColumnRenamed("scc", "t"), "target")
-            links = cut(joined.where("s <> t").select("source", "target"), "inherits")
+            up = cut(up.join(joined.where("s = t").select("source", "target"), ["source", "target"], "left_anti"), "inherits")
+            left, links, done, level = cut(vertices, "left"), up, None, 0
             continue
         done = ready if done is None else done.union(ready)
         left = cut(left.join(ready, "name", "left_anti"), "left")
