@@ -2,11 +2,10 @@
 
 A host is a document's source. A line's identity is its words joined by one space, hashed. For
 every host and line, the distinct documents that have the line are counted; exact copies of a
-text are one document. A line goes if more than LIMIT families of documents share it and these
-are more than half of the documents counted: near copies of one text (a family: those whose
-lines have the same least MD5) share nearly all of their lines, which makes a text no
-boilerplate. A document is depleted, and not kept, if lines that go have more than DEPLETED
-percent of its words. Counts are pre-aggregated before each shuffle; no group is collected.
+text are one document. A line goes if more than LIMIT documents share it; near copies of a text
+count each for itself, and no document's presence keeps a line. A document is depleted, and not
+kept, if lines that go have more than DEPLETED percent of its words. Counts are pre-aggregated
+before each shuffle; no group is collected.
 
 Nulls and edges: a null text counts as empty and fails the base rules; a null source is a host
 of its own; a null doc_id is judged by the base rules alone; rows that repeat a doc_id add up.
@@ -14,7 +13,6 @@ of its own; a null doc_id is judged by the base rules alone; rows that repeat a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm.stats import measure, solid_lines
+from archgraph.llm.stats import measure
 from archgraph.llm.store import arm, cut, table
 from archgraph.llm.text import chunks, list_array, mix, powers, signed
 
@@ -41,13 +39,12 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else np.zeros(0, np.int64)
             bounds = np.searchsorted(r[new], np.arange(words.rows + 1))
             sizes = np.add.reduceat(n, new) if len(new) else np.zeros(0, np.int64)
-            family = [min((hashlib.md5(x.encode()).hexdigest() for x in solid_lines(t or "")), default="") for t in part.column("text").to_pylist()]
             sums = np.zeros(words.n + 1, np.uint64)
             np.cumsum(words.h * powers(words.n), out=sums[1:])
             whole = [signed(mix((words.h[a:b] * powers(b - a)).sum(keepdims=True, dtype=np.uint64)))[0] if b > a else 0 for a, b in zip(words.row_at, words.row_at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("host"), *(pa.array(stats[k], pa.int64()) for k in BASE), pa.array(whole, pa.int64()), pa.array(family, pa.string()), list_array(signed(h[new]), bounds, pa.int64()), list_array(sizes, bounds, pa.int32())],
-                names=["doc_id", "host", *BASE, "whole", "family", "h", "size"],
+                [part.column("doc_id"), part.column("host"), *(pa.array(stats[k], pa.int64()) for k in BASE), pa.array(whole, pa.int64()), list_array(signed(h[new]), bounds, pa.int64()), list_array(sizes, bounds, pa.int32())],
+                names=["doc_id", "host", *BASE, "whole", "h", "size"],
             )
 
 
@@ -55,11 +52,9 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, and n_line_words: words in lines that go."""
     arm(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
-    got = cut(docs.mapInArrow(_measured, f"doc_id long, host string, {', '.join(f'{k} long' for k in BASE)}, whole long, family string, h array<long>, size array<int>"), "measured")
-    lines = got.select("doc_id", "host", "whole", F.xxhash64("family").alias("family"), F.explode(F.arrays_zip("h", "size")).alias("l")).select("doc_id", "host", "whole", "family", "l.h", "l.size")
-    texts_ = lines.select("h", "host", "family", "whole").distinct()
-    families = texts_.groupBy("h", "host", "family").agg(F.count(F.lit(1)).alias("n"))
-    going = families.groupBy("h", "host").agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("docs")).where(f"families > {LIMIT} and 2 * families > docs").select("h", "host")
+    got = cut(docs.mapInArrow(_measured, f"doc_id long, host string, {', '.join(f'{k} long' for k in BASE)}, whole long, h array<long>, size array<int>"), "measured")
+    lines = got.select("doc_id", "host", "whole", F.explode(F.arrays_zip("h", "size")).alias("l")).select("doc_id", "host", "whole", "l.h", "l.size")
+    going = lines.select("h", "host", "whole").distinct().groupBy("h", "host").agg(F.count(F.lit(1)).alias("docs")).where(f"docs > {LIMIT}").select("h", "host")
     lost = lines.join(going, ["h", "host"]).groupBy(F.col("doc_id")).agg(F.sum("size").alias("n_line_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = got.select("doc_id", *BASE).join(lost, "doc_id", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
