@@ -2,10 +2,12 @@
 
 A unit is a line, cut further behind clauses of at least four words (those that end in one of
 . ? ! , ; : alone), so that a passage inside a line is found too. A unit's identity is its words,
-A-Z in lower case. Units rank by (doc_id, place); the earliest of equal units stays. Of the
-later ones, runs of neighbours with 25 words or more are removed, so that short clauses
-which two documents have by chance do no harm. What is removed reaches from the end of the
-word before to the end of the run; its offsets in the original text are kept as spans.
+A-Z in lower case. Units rank by (doc_id, place); the earliest of equal units stays. A line
+that occurs earlier as a whole line is removed whatever its length, so repeated paragraphs are
+too. Of other later units, runs of neighbours with 25 words or more are removed, so that short
+clauses which two documents have by chance inside their lines do no harm. What is removed
+reaches from the end of the word before to the end of the run; its offsets in the original text
+are kept as spans.
 
 Nulls and edges: a null text stays null, a null doc_id is left as it is, rows that repeat a
 doc_id count as one document, texts without words have no unit.
@@ -39,11 +41,26 @@ def units(words: Words) -> Segments:
     return words.segments(ends & (np.repeat(raw.size, raw.size) >= CLAUSE_WORDS))
 
 
+#: What a digest is of: a clause inside a line, a line of one unit, or a line of several. Such a line's digest equals no unit's, as its words would be cut anywhere.
+CLAUSE, LINE, LONG_LINE, KINDS = 0, 1, 2, 4
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
-            found = units(Words(part.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(signed(found.h), found.row_at, pa.int64())], names=["doc_id", "u"])
+            words = Words(part.column("text"), lower=True)
+            found, lines = units(words), words.segments()
+            begin = np.searchsorted(found.first, lines.first)
+            long = np.diff(np.append(begin, len(found.first))) > 1
+            code = np.arange(len(found.first)) - np.repeat(found.row_at[:-1], np.diff(found.row_at))
+            lead = KINDS * code[begin[long]] + LONG_LINE
+            code = KINDS * code + CLAUSE
+            code[begin[~long]] += LINE
+            row = np.repeat(np.arange(words.rows), np.diff(found.row_at))
+            order = np.argsort(np.concatenate([row, row[begin[long]]]), kind="stable")
+            bounds = np.searchsorted(np.sort(np.concatenate([row, row[begin[long]]])), np.arange(words.rows + 1))
+            h, codes = np.concatenate([found.h, lines.h[long]])[order], np.concatenate([code, lead])[order]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(signed(h), bounds, pa.int64()), list_array(codes, bounds, pa.int32())], names=["doc_id", "h", "code"])
 
 
 def runs(later: list[int], sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -59,6 +76,19 @@ def runs(later: list[int], sizes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def cuts(later: list[int], sizes: np.ndarray, line: np.ndarray) -> list[tuple[int, int]]:
+    """[first, last] of what goes, by codes of later units and lines: whole lines, and runs of units."""
+    gone = {p for a, b in runs(sorted({x // KINDS for x in later if x % KINDS != LONG_LINE}), sizes) for p in range(a, b + 1)}
+    for x in later:
+        p = x // KINDS
+        if x % KINDS != CLAUSE and p < len(line):
+            gone.update(range(p, int(np.searchsorted(line, line[p], "right"))))
+    places = sorted(gone)
+    first = [p for p in places if p - 1 not in gone]
+    last = [p for p in places if p + 1 not in gone]
+    return list(zip(first, last, strict=True))
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
@@ -71,13 +101,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not later or old[r] is None:
                     continue
                 u0, w0, b0 = int(found.row_at[r]), int(words.row_at[r]), int(words.at[r])
-                cuts = runs(sorted(later), found.size[u0 : int(found.row_at[r + 1])])
-                if not cuts:
+                own = slice(u0, int(found.row_at[r + 1]))
+                going = cuts(later, found.size[own], found.line[own])
+                if not going:
                     continue
                 raw = old[r].encode()
                 point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
                 kept, at, said = [], 0, []
-                for a, b in cuts:
+                for a, b in going:
                     first = int(found.first[u0 + a])
                     last = int(found.first[u0 + b] + found.size[u0 + b]) - 1
                     lost[r] += last - first + 1
@@ -93,12 +124,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def later_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, __later): places of the units that occur earlier already."""
-    per_doc = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digests, "doc_id long, u array<long>")
-    rows = cut(per_doc.where("size(u) > 0"), "units").select("doc_id", F.posexplode("u").alias("p", "u"))
-    first = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "p")).alias("first")).where("n > 1").select("u", F.col("first.doc_id").alias("d1"), F.col("first.p").alias("p1"))
-    later = rows.join(first, "u").where("doc_id <> d1 or p <> p1")
-    return later.groupBy("doc_id").agg(F.collect_set("p").alias("__later"))  # at most the document's units
+    """(doc_id, __later): codes of the units that occur earlier already, and of the lines that do as whole lines."""
+    per_doc = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digests, "doc_id long, h array<long>, code array<int>")
+    rows = cut(per_doc.where("size(h) > 0"), "units").select("doc_id", F.explode(F.arrays_zip("h", "code")).alias("u")).select("doc_id", "u.h", "u.code")
+    place, whole = F.struct("doc_id", "code"), F.col("code") % KINDS != CLAUSE
+    first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min(F.when(whole, place)).alias("line")).where("n > 1").drop("n")
+    later = rows.join(first, "h").where(place != F.col("first"))
+    found = F.when(whole & (place == F.col("line")), F.col("code") - F.col("code") % KINDS).otherwise(F.col("code"))  # an earlier clause makes no whole line
+    return later.groupBy("doc_id").agg(F.collect_set(found).alias("__later"))  # at most the document's units and lines
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

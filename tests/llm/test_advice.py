@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from archgraph.llm import quality_rules
+from archgraph.llm import quality_rules, substring_dedup
 
 
 def _line(*key):
@@ -27,3 +29,28 @@ def test_near_copies_keep_no_shared_line(spark):
     got = quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
     assert {r["n_line_words"] for r in got if r["doc_id"] < 100} == {12}
     assert all(r["kept"] for r in got if r["doc_id"] < 100)
+
+
+def test_later_whole_lines_go_whatever_their_length(spark):
+    """Against brute force: of equal lines the earliest stays, also where it is short or of several clauses."""
+    rng = random.Random(7)
+    pool = ["ok", "Two words", "All rights reserved, by the owner of it.", "See the first part of this. Then see the second part, too.", "\u00dcber uns: wir sind viele, sagt man."]
+    docs, seen, lost = [], set(), {}
+    for d in range(40):
+        lines = [rng.choice(pool) if rng.random() < 0.6 else f"own{d}_{k} line with, some words of its own; here{rng.random()}" for k in range(rng.randrange(1, 9))]
+        docs.append((d, "\n".join(x.upper() if rng.random() < 0.3 and x.isascii() else x for x in lines)))
+        lost[d] = 0
+        for x in lines:
+            lost[d] += len(x.split()) * (x in seen)
+            seen.add(x)
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: r["__removed"] for d, r in got.items()} == lost
+    kept = [x.lower() for d in sorted(got) for x in got[d]["text"].split("\n") if x.strip()]
+    assert len(kept) == len(set(kept))
+
+
+def test_clause_that_makes_a_line_elsewhere_stays(spark):
+    """A short clause inside a line is no whole line: neither it nor the first line of these words goes."""
+    docs = [(1, "We begin with this here. All rights are reserved now. And so on it goes."), (2, "All rights are reserved now.\nother words"), (3, "x y z\nAll rights are reserved now.")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: docs[1][1], 3: "x y z"}
