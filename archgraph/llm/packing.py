@@ -2,11 +2,11 @@
 
 Documents are tokenised once; only pieces' lengths matter for packing, and there are at most
 CAPACITY different ones. So the driver packs a histogram (bounded, whatever the corpus): it
-completes a bin around the largest piece left, takes the undominated fillings in order of
-waste, and applies a filling to as many bins as the counts allow. Branch and bound over these
-choices drops a branch as soon as its waste exceeds what could still beat the incumbent, which
-is at first the best-fit-decreasing solution; it ends when a solution meets the lower bound
-or after a documented number of nodes.
+completes a bin around the largest piece left. The incumbent is the best-fit-decreasing solution
+or the best of a few greedy dives. While it is above the lower bound, branch and bound goes
+through all undominated fillings of every bin and backtracks at each, dropping a branch as soon
+as its waste exceeds what could still beat the incumbent. It ends with a solution that meets the
+bound, with the proof that there is none better, or, with a warning, after SEARCH_NODES.
 
 The plan says, for each length, which ranks of pieces go to which bins. A piece's rank among
 those of its length is its rank within the task that tokenised it plus the counts of the tasks
@@ -21,7 +21,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import warnings
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,8 +44,10 @@ from archgraph.llm.text import chunks
 CAPACITY, END = 4096, 1
 #: A worker's cache of tokenised words starts anew beyond so many.
 CACHE = 800_000
-#: Nodes of the search for one filling, and branches over fillings; beyond, the best found so far stands.
+#: Of the greedy dives: nodes of the search for one filling, and dives.
 FILL_NODES, BRANCHES = 1000, 16
+#: Nodes of the branch and bound, those within fillings included; packing is NP-hard, so beyond, the best found so far stands and a warning says so.
+SEARCH_NODES = 300_000
 
 
 class WordBPE:
@@ -190,10 +194,9 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
 
 
 def fillings(order: list[int], left: dict[int, int], room: int, want: int, waste: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of room, by waste then by larger pieces: at most `want`, none wasting over `waste`.
+    """For a dive, fillings of room by waste then by larger pieces: at most `want`, none wasting over `waste`.
 
-    Depth first over the lengths from the largest; taking a larger piece dominates taking smaller
-    ones of the same total, so a total already reached is not entered again.
+    Depth first over the lengths from the largest, one filling for each total.
     """
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     totals: set[int] = set()
@@ -232,10 +235,130 @@ def fillings(order: list[int], left: dict[int, int], room: int, want: int, waste
     return [items for _, items in found[:want]]
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: for each t, pieces over half don't share bins, and those over capacity - t leave no room for any of t or more."""
+    n = np.zeros(capacity + 1, np.int64)
+    for size, k in counts.items():
+        n[size] += k
+    number, words = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * np.arange(capacity + 1)))  # of pieces below a length
+    t = np.arange(capacity // 2 + 1)
+    half = capacity // 2 + 1
+    full = number[-1] - number[capacity - t + 1]
+    large, filled = number[capacity - t + 1] - number[half], words[capacity - t + 1] - words[half]
+    over = words[half] - words[t] - (large * capacity - filled)
+    return int((full + large + np.maximum(0, -(-over // capacity))).max())
+
+
+def dominated(items: list[tuple[int, int]], slack: int, excluded: int) -> bool:
+    """Whether an excluded piece can take the place of some pieces that fit into it, and of slack. excluded: a bit for each length."""
+    some, many = 0, 0  # sums of at least one and of at least two pieces
+    for size, k in items:
+        for _ in range(k):
+            many |= some << size
+            some |= some << size | 1 << size
+    if many & excluded:
+        return True
+    if not slack:
+        return False
+    sums, reach = (some | 1) << 1, 1
+    while reach < slack:
+        step = min(reach, slack - reach)
+        sums |= sums << step
+        reach += step
+    return bool(sums & excluded)
+
+
+class Spent(Exception):
+    """The nodes of a search are used up."""
+
+
+def search(counts: dict[int, int], capacity: int, best: list[Filling], bound: int) -> tuple[list[Filling], bool]:
+    """The fewest bins, by bin completion that backtracks at every bin; whether that is proved.
+
+    A filling goes to as many bins as the counts allow, then to one alone, so that every order
+    of fillings is reached. States already left with as few bins are not entered again.
+    """
+    left = {s: n for s, n in counts.items() if n}
+    total = sum(s * n for s, n in left.items())
+    most, used, nodes = sum(f.bins for f in best), 0, 0
+    plan: list[Filling] = []
+    seen: dict[tuple, int] = {}
+
+    def tick() -> None:
+        nonlocal nodes
+        nodes += 1
+        if nodes > SEARCH_NODES:
+            raise Spent
+
+    def allowed() -> int:
+        return (most - 1) * capacity - total - (used * capacity - (total - sum(s * n for s, n in left.items())))
+
+    def options() -> Iterator[Filling]:
+        """Undominated fillings around the largest piece; `left` is the same at each step."""
+        order = sorted((s for s, n in left.items() if n), reverse=True)
+        top, down = order[0], [-s for s in order]
+        own = lambda s: left[s] - (s == top)
+        rest = np.append(np.cumsum([s * own(s) for s in reversed(order)])[::-1], 0).tolist()
+        free = sum(1 << s for s in order if own(s))
+        waste = allowed()
+
+        def go(i: int, room: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+            tick()
+            for j in range(bisect_left(down, -room, i), len(order)):
+                if room - rest[j] > waste:
+                    break
+                for k in range(min(room // order[j], own(order[j])), 0, -1):
+                    yield from go(j + 1, room - order[j] * k, [*taken, (order[j], k)])
+            if room <= waste and not dominated(taken, room, free & ~sum(1 << s for s, k in taken if k == own(s))):
+                yield room, taken
+
+        for slack, taken in go(0, capacity - top, []):
+            merged = {top: 1}
+            for s, k in taken:
+                merged[s] = merged.get(s, 0) + k
+            bins = min(left[s] // k for s, k in merged.items())
+            for n in (bins, 1)[: 1 + (bins > 1)]:
+                waste = allowed()
+                if n * slack <= waste:
+                    yield Filling(n, tuple(sorted(merged.items(), reverse=True)))
+
+    def put(f: Filling, sign: int) -> None:
+        nonlocal used
+        used += sign * f.bins
+        for s, k in f.items:
+            left[s] -= sign * k * f.bins
+
+    stack = [options()]
+    try:
+        while stack:
+            f = next(stack[-1], None)
+            if f is None:
+                stack.pop()
+                if plan:
+                    put(plan.pop(), -1)
+                continue
+            put(f, 1)
+            plan.append(f)
+            key = tuple((s, n) for s, n in left.items() if n)
+            if not key and used < most:
+                best, most = list(plan), used
+                if most <= bound:
+                    return best, True
+            if key and allowed() >= 0 and seen.get(key, most) > used:
+                if len(key) <= 100:
+                    seen[key] = used
+                stack.append(options())
+            else:
+                put(plan.pop(), -1)
+    except Spent:
+        return best, False
+    return best, True
+
+
 def complete(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     """Bins for a histogram of lengths: bin completion with branch and bound."""
     total = sum(k * v for k, v in counts.items())
-    bound = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    bound = least_bins(counts, capacity)
     best = best_fit(counts, capacity)
     most = sum(f.bins for f in best)
     branches = 0
@@ -280,6 +403,10 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
 
     while most > bound and branches < BRANCHES:
         descend({k: v for k, v in counts.items() if v}, [], 0, branches)
+    if most > bound:
+        best, proved = search(counts, capacity, best, bound)
+        if not proved:
+            warnings.warn(f"packing ended after {SEARCH_NODES} nodes with {sum(f.bins for f in best)} sequences; the lower bound is {bound}", stacklevel=2)
     return best
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import warnings
+from collections import Counter
 
 import pytest
 
-from archgraph.llm import quality_rules, substring_dedup
+from archgraph.llm import packing, quality_rules, substring_dedup
+from tests.llm.test_brute_force import _fewest
 
 
 def _line(*key):
@@ -54,3 +57,20 @@ def test_clause_that_makes_a_line_elsewhere_stays(spark):
     docs = [(1, "We begin with this here. All rights are reserved now. And so on it goes."), (2, "All rights are reserved now.\nother words"), (3, "x y z\nAll rights are reserved now.")]
     got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: docs[0][1], 2: docs[1][1], 3: "x y z"}
+
+
+def test_packing_needs_as_few_bins_as_any():
+    """The optimum, not one more: small cases against all packings, without a warning of an ended search."""
+    rng = random.Random(11)
+    cases = [[13, 11, 11, 8, 6, 5, 3, 2, 1]] + [[rng.randrange(1, 21) for _ in range(rng.randrange(1, 12))] for _ in range(400)]
+    cases += [[rng.choice([4, 5, 6, 7, 9, 11]) for _ in range(11)] for _ in range(200)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        for sizes in cases:
+            plan = packing.complete(dict(Counter(sizes)), 20)
+            used = Counter()
+            for f in plan:
+                assert sum(s * k for s, k in f.items) <= 20
+                used.update({s: k * f.bins for s, k in f.items})
+            assert used == Counter(sizes)
+            assert sum(f.bins for f in plan) == _fewest(sorted(sizes, reverse=True), 20) >= packing.least_bins(Counter(sizes), 20)
