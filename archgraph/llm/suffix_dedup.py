@@ -6,14 +6,14 @@ positions, so a repeated passage meets its copy at such a suffix. A retained suf
 for the windows that select it (`lo` to `lo + n - 1`), and knows the text that these cover,
 its context.
 
-Suffixes are ordered by (16-gram, context). Neighbours with equal contexts match as far as
-they reach on both sides, so they collapse into one row with a count before anything is
-shuffled, however many copies there are. Neighbours with one 16-gram and different contexts
-match for a part to the left and right: their windows are compared one by one. The union of
-a document's matched windows is what repeats, exactly as far as it does.
-
-A comparison of immediate neighbours alone would miss a match further to the left, wherever a
-third suffix sorts in between; that is why contexts are compared by their windows.
+Suffixes are not sorted, and neighbours are not extended: they are grouped by the hashes of
+16-gram and context. Those with equal contexts match as far as they reach on both sides, so
+they collapse into one row with a count before anything is shuffled, however many copies there
+are. Of those with one 16-gram and different contexts, the hashes of all windows are grouped.
+The union of a document's matched windows is what repeats, exactly as far as it does.
+
+A sort with a comparison of immediate neighbours would miss a match further to the left,
+wherever a third suffix sorts in between; that is why contexts are compared by their windows.
 
 Result: one row per row of docs, with word offsets. `repeated_*`: all occurrences;
 `removed_*`: those after the first, by (doc_id, offset), of their 50 words.
