@@ -9,12 +9,20 @@
    first in that order, so an ordinary document posts nothing.
 3. `link`: within a posting list, members are compared with one leader a round and linked
    ones merge into a component, so a group of thousands of copies costs as many comparisons
-   as it has members. Last, whatever pairs of different components still share a list are
-   compared. Candidates agreeing on T coordinates are confirmed on their full sets.
+   as it has members. What still shares a list but no component after ROUNDS leaders is
+   compared exactly. In lists of up to SHORT such documents, collisions are counted over the
+   merged prefixes, and pairs go on that can still reach T with what their prefixes skip.
+   Documents of longer lists meet through their rarest shingles instead (`rare_pairs`), as
+   all that are similar enough must share one of those: no pair of a long list is formed that
+   shares common values alone. Candidates are held to T equal coordinates, the skipped ones
+   included, and confirmed on their full sets.
 
 Nulls: a null text is an empty document; empty documents link with nothing. Rows with a null
-doc_id are returned with component_id null and kept true. Rows that repeat a doc_id form one
-document with its first set. Other columns are ignored.
+doc_id are returned with component_id null and kept true. Rows that repeat a doc_id are one
+document, whose set is the least of theirs by (size, digest), empty ones left out; each row is
+returned with its own n_shingles and the document's component. Ties: of a component the
+smallest doc_id stays. Texts are read whole, however long; a set is held by one task at a
+time. An empty table gives no row. Other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +39,8 @@ from archgraph.llm.text import Words, chunks, list_array, mix, shingle_sets, sig
 
 K, T, ROUNDS = 64, 38, 3
 PERCENT = 85
+#: A posting list with more documents to compare than this is left to `rare_pairs`; either way finds all pairs.
+SHORT = 32
 _rng = np.random.default_rng(85)
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, K, dtype=np.uint64)
@@ -45,33 +55,49 @@ def signatures(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets, two digests of each, and all sets one after the other."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    sums = np.zeros((2, len(sets)), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        begins = (np.cumsum(size) - size)[full]
+        sums[0, full] = np.add.reduceat(mix(flat ^ _A[0]), begins)
+        sums[1, full] = np.add.reduceat(mix(flat + _B[0]), begins)
+    return size, signed(sums[0]), signed(sums[1]), flat
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             sets = shingle_sets(Words(part.column("text"), lower=True))
-            size = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            bounds = np.concatenate([[0], np.cumsum(size)])
-            full = np.flatnonzero(size)
+            size, c1, c2, flat = _digests(sets)
             sig_bounds = np.concatenate([[0], np.cumsum(np.where(size > 0, K, 0))])
-            sums = np.zeros((2, len(sets)), np.uint64)
-            sig = np.zeros((0, K), np.int32)
-            if len(full):
-                begins = bounds[:-1][full]
-                sums[0, full] = np.add.reduceat(mix(flat ^ _A[0]), begins)
-                sums[1, full] = np.add.reduceat(mix(flat + _B[0]), begins)
-                sig = signatures(flat, begins)
+            full = np.flatnonzero(size)
+            sig = signatures(flat, (np.cumsum(size) - size)[full]) if len(full) else np.zeros((0, K), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size), pa.array(signed(sums[0])), pa.array(signed(sums[1])), list_array(sig.ravel(), sig_bounds, pa.int32())],
+                [part.column("doc_id"), pa.array(size), pa.array(c1), pa.array(c2), list_array(sig.ravel(), sig_bounds, pa.int32())],
                 names=["doc_id", "n_shingles", "c1", "c2", "sig"],
             )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts that have the wanted digests."""
     for batch in batches:
         for part in chunks(batch):
             sets = shingle_sets(Words(part.column("text"), lower=True))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sig"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sig", "shingles"])
+            _, c1, c2, _ = _digests(sets)
+            mine = np.flatnonzero((c1 == part.column("c1").to_numpy(zero_copy_only=False)) & (c2 == part.column("c2").to_numpy(zero_copy_only=False)))
+            rows = part.take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n"), rows.column("sig"), pa.array([sets[i].tobytes() for i in mine], pa.binary())], names=["doc_id", "n", "sig", "shingles"])
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), list_array(np.concatenate(sets) if sets else np.zeros(0, np.int64), bounds, pa.int64())], names=["doc_id", "n", "s"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +119,12 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def prefix_postings(reps: DataFrame) -> DataFrame:
-    """(token, doc_id) of the prefixes: of the tokens that a document shares, all but T - 1 of the commonest."""
-    posts = reps.select("doc_id", F.posexplode("sig").alias("i", "v")).select(F.xxhash64("i", "v").alias("token"), "doc_id")
+    """(token, doc_id, n, rest) of the prefixes: of the tokens that a document shares, all but T - 1 of the commonest. rest: tokens behind this one."""
+    posts = reps.select("doc_id", "n", F.posexplode("sig").alias("i", "v")).select(F.xxhash64("i", "v").alias("token"), "doc_id", "n")
     often = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = posts.join(often, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most K each
-    return mine.where(F.size("t") >= T).select("doc_id", F.explode(F.expr(f"slice(t, 1, size(t) - {T - 1})")).alias("t")).select("t.token", "doc_id")
+    mine = posts.join(often, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))  # at most K each
+    prefix = mine.where(F.size("t") >= T).select("doc_id", "n", F.size("t").alias("all"), F.posexplode(F.expr(f"slice(t, 1, size(t) - {T - 1})")).alias("i", "t"))
+    return prefix.select("t.token", "doc_id", "n", (F.col("all") - 1 - F.col("i")).cast("int").alias("rest"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,6 +156,53 @@ def verify(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return near.mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
+def _close(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return PERCENT * F.greatest(n, m) <= 100 * F.least(n, m)
+
+
+def led_pairs(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Each member of a list with the list's leader, where they aren't linked yet."""
+    met = members.join(lists, "token").where((F.col("component") != F.col("leader.component")) & _close("n", "leader.n"))
+    return met.select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b")).distinct()
+
+
+def counted_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of different components in lists of at most SHORT members, whose collisions can come to T.
+
+    All lists of a pair that isn't linked are here, but for longer ones, which `rare_pairs` takes
+    care of. Behind the last list that both are in, they share at most what both skip.
+    """
+    x = members.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("component").alias("c_a"))
+    y = members.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("component").alias("c_b"))
+    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _close("n_a", "n_b"))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.least(F.min("rest_a"), F.min("rest_b")).alias("rest"))
+    return counted.where(F.col("shared") + F.col("rest") >= T).select("a", "b")
+
+
+def rare_pairs(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles, among all members.
+
+    With shingles in one order, the rarest first, sets of n <= m that are similar enough have
+    their first common one among the first n - 2p/(1+p) n + 1 of the smaller set and the first
+    m - p m + 1 of the larger, and as many as needed can still follow it.
+    """
+    mine = candidates.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "shingles").mapInArrow(_numbers, "doc_id long, n long, s array<long>")
+    each = mine.select("doc_id", "n", F.explode("s").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = each.join(often, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("t"))  # at most the document's own shingles
+    need = lambda n: F.ceil(F.lit(PERCENT) * n / 100)
+    ranked = order.select("doc_id", "n", (F.col("n") - F.size("t")).alias("own"), F.posexplode("t").alias("i", "t")).select("doc_id", "n", F.col("t.s").alias("s"), (F.col("own") + F.col("i")).alias("at"))
+    label = members.groupBy("doc_id").agg(F.first("component").alias("component"))
+    prefix = cut(ranked.where(F.col("at") <= F.col("n") - need(F.col("n"))).join(label, "doc_id"), "rare")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    size = F.col("x.n") + F.col("y.n")
+    both = F.ceil(F.lit(PERCENT) * size / (100 + PERCENT))
+    first = (F.struct("x.n", "x.doc_id") < F.struct("y.n", "y.doc_id")) & (F.col("x.at") <= F.col("x.n") - F.ceil(2 * F.lit(PERCENT) * F.col("x.n") / (100 + PERCENT)))
+    met = x.join(y, F.col("x.s") == F.col("y.s")).where(first & (F.col("x.component") != F.col("y.component")) & _close("x.n", "y.n") & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= both))
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def link(postings: DataFrame, candidates: DataFrame) -> DataFrame | None:
     """Components (doc_id, component) of the candidates that have a link; None if there are none."""
     links: DataFrame | None = None
@@ -138,20 +212,23 @@ def link(postings: DataFrame, candidates: DataFrame) -> DataFrame | None:
         if labels is None:
             members = postings.withColumn("component", F.col("doc_id"))
         else:
-            members = postings.join(labels, "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        lists = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(r))).alias("leader")).where("lo <> hi")
+            members = postings.join(labels, "doc_id", "left").select("token", "doc_id", "n", "rest", F.coalesce("component", "doc_id").alias("component"))
+        lists = members.groupBy("token").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.min_by(F.struct("doc_id", "n", "component"), F.xxhash64("doc_id", F.lit(r))).alias("leader")
+        ).where("lo <> hi")
         if r < ROUNDS:
-            pairs = members.join(lists, "token").where("component <> leader.component").select(F.least("doc_id", "leader.doc_id").alias("a"), F.greatest("doc_id", "leader.doc_id").alias("b"))
+            pairs = led_pairs(members, lists)
         else:
-            open_ = members.join(lists.select("token"), "token", "left_semi")
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        pairs = pairs.distinct()
+            open_ = cut(members.join(lists.select("token", "size"), "token"), "open")
+            pairs = counted_pairs(open_.where(f"size <= {SHORT}"))
+            long = open_.where(f"size > {SHORT}")
+            if not long.isEmpty():
+                pairs = pairs.union(rare_pairs(long, candidates)).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue  # other leaders, and the last step, may still bring pairs that weren't compared
         found = cut(verify(pairs, candidates).where("linked").select("a", "b"), "links")
         seen = pairs if seen is None else seen.union(pairs)
         if not found.isEmpty():
@@ -164,13 +241,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     arm(docs.sparkSession)
     sk = cut(sketch(docs), "sketch")
-    full = sk.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rep = cut(full.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["n_shingles", "c1", "c2"]).groupBy("doc_id").agg(F.min("rep").alias("rep")), "classes")
-    reps = full.select("doc_id", "sig").join(rep.where("rep <> doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    rows = sk.where("n_shingles > 0 and doc_id is not null").withColumnRenamed("n_shingles", "n")
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c1", "c2")).alias("own")).where("k > 1").drop("k")
+    full = rows.join(repeated, "doc_id", "left").where("own is null or (own.n = n and own.c1 = c1 and own.c2 = c2)").drop("own")
+    classes = full.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    rep = cut(full.select("doc_id", "n", "c1", "c2").join(classes, ["n", "c1", "c2"]).select("doc_id", "rep").distinct(), "classes")
+    reps = full.select("doc_id", "n", "sig").join(rep.where("rep <> doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     posts = cut(prefix_postings(reps), "postings")
-    wanted = posts.select("doc_id").distinct().join(full.select("doc_id", "sig"), "doc_id").dropDuplicates(["doc_id"])
-    with_sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, sig array<int>, shingles binary")
+    wanted = posts.select("doc_id").distinct().join(full, "doc_id").dropDuplicates(["doc_id"])
+    with_sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, n long, sig array<int>, shingles binary")
     labels = link(posts, cut(with_sets.dropDuplicates(["doc_id"]), "candidates"))
     out = sk.select("doc_id", "n_shingles").join(rep, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if labels is not None:
