@@ -7,8 +7,11 @@ count each for itself, and no document's presence keeps a line. A document is de
 kept, if lines that go have more than DEPLETED percent of its words. Counts are pre-aggregated
 before each shuffle; no group is collected.
 
-Nulls and edges: a null text counts as empty and fails the base rules; a null source is a host
-of its own; a null doc_id is judged by the base rules alone; rows that repeat a doc_id add up.
+Nulls and edges: a null or empty text has no line and fails the base rules; all rows with a null
+source, or an empty one, are one host; rows with a null doc_id, and rows that repeat one, are
+documents of their own, judged each by its own lines. Lines of equal counts (ties) all go or all
+stay. Texts are measured whole, however long. An empty table gives no row. Other columns, of
+whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32  # of the row, as doc_id may be null or repeated
     for batch in batches:
         for part in chunks(batch):
             words, stats = measure(part.column("text"))
@@ -42,9 +47,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(words.n + 1, np.uint64)
             np.cumsum(words.h * powers(words.n), out=sums[1:])
             whole = [signed(mix((words.h[a:b] * powers(b - a)).sum(keepdims=True, dtype=np.uint64)))[0] if b > a else 0 for a, b in zip(words.row_at, words.row_at[1:], strict=False)]
+            numbers = np.arange(number, number + words.rows)
+            number += words.rows
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("host"), *(pa.array(stats[k], pa.int64()) for k in BASE), pa.array(whole, pa.int64()), list_array(signed(h[new]), bounds, pa.int64()), list_array(sizes, bounds, pa.int32())],
-                names=["doc_id", "host", *BASE, "whole", "h", "size"],
+                [pa.array(numbers), part.column("doc_id"), part.column("host"), *(pa.array(stats[k], pa.int64()) for k in BASE), pa.array(whole, pa.int64()), list_array(signed(h[new]), bounds, pa.int64()), list_array(sizes, bounds, pa.int32())],
+                names=["row", "doc_id", "host", *BASE, "whole", "h", "size"],
             )
 
 
@@ -52,12 +59,12 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, base_failed, kept, and n_line_words: words in lines that go."""
     arm(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
-    got = cut(docs.mapInArrow(_measured, f"doc_id long, host string, {', '.join(f'{k} long' for k in BASE)}, whole long, h array<long>, size array<int>"), "measured")
-    lines = got.select("doc_id", "host", "whole", F.explode(F.arrays_zip("h", "size")).alias("l")).select("doc_id", "host", "whole", "l.h", "l.size")
+    got = cut(docs.mapInArrow(_measured, f"row long, doc_id long, host string, {', '.join(f'{k} long' for k in BASE)}, whole long, h array<long>, size array<int>"), "measured")
+    lines = got.select("row", "host", "whole", F.explode(F.arrays_zip("h", "size")).alias("l")).select("row", "host", "whole", "l.h", "l.size")
     going = lines.select("h", "host", "whole").distinct().groupBy("h", "host").agg(F.count(F.lit(1)).alias("docs")).where(f"docs > {LIMIT}").select("h", "host")
-    lost = lines.join(going, ["h", "host"]).groupBy(F.col("doc_id")).agg(F.sum("size").alias("n_line_words"))
+    lost = lines.join(going, ["h", "host"]).groupBy("row").agg(F.sum("size").alias("n_line_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = got.select("doc_id", *BASE).join(lost, "doc_id", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
+    out = got.select("row", "doc_id", *BASE).join(lost, "row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
     return out.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (100 * F.col("n_line_words") <= DEPLETED * F.col("n_words"))).alias("kept"), "n_line_words")
 
 
@@ -74,9 +81,7 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS te
 ), l AS (SELECT doc_id, host, text, raw, regexp_extract_all(raw, {_W}) AS lw FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS raw FROM d)
 ), solid AS (SELECT doc_id, host, md5(array_to_string(regexp_extract_all(text, {_W}), ' ')) AS whole, raw, array_to_string(lw, ' ') AS norm, len(lw) AS size FROM l WHERE len(lw) > 0
 ), dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM solid GROUP BY doc_id
-), fam AS (SELECT doc_id, min(md5(raw)) AS family FROM solid GROUP BY doc_id
-), per AS (SELECT DISTINCT s.norm, s.host, f.family, s.whole FROM solid s JOIN fam f USING (doc_id)
-), going AS (SELECT norm, host FROM per GROUP BY norm, host HAVING count(DISTINCT family) > {LIMIT} AND 2 * count(DISTINCT family) > count(DISTINCT (family, whole))
+), going AS (SELECT norm, host FROM solid GROUP BY norm, host HAVING count(DISTINCT whole) > {LIMIT}
 ), lost AS (SELECT doc_id, sum(size) AS n FROM solid JOIN going USING (norm, host) GROUP BY doc_id
 ), b AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
