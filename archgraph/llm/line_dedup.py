@@ -6,14 +6,17 @@ Windows rank by (doc_id, line); all occurrences but the first are later ones, an
 that later occurrences cover are removed. Hot windows cost no more than others: counting is
 pre-aggregated before the shuffle, and each occurrence meets only its window's first.
 
-Nulls and edges: a null text stays null with zero lines; a null doc_id is left as it is; rows
-that repeat a doc_id count as one document; documents under three lines have no window. A
-text that loses all its words becomes empty.
+Nulls and edges: a null text stays null with zero lines; a null doc_id is left as it is;
+documents under three lines have no window. Rows that repeat a doc_id count as one document:
+their windows of equal line are one occurrence, and what goes by line goes from each of them.
+Ties of (doc_id, line) don't arise otherwise. A text that loses all its words becomes empty.
+Texts are cut whole, however long. An empty table gives no row. Columns of docs may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archgraph.llm.store import arm, cut, table
+from archgraph.llm.store import arm, cut, plain, table, unused
 from archgraph.llm.text import Words, chunks, list_array, signed, windows
 
 LINES = 3
@@ -35,12 +38,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), list_array(signed(h), bounds, pa.int64())], names=["doc_id", "w"])
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines that the windows beginning at the listed places cover."""
+def _without(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines that the windows beginning at the places in the last column cover."""
     for batch in batches:
-        text, gone = batch.schema.get_field_index("text"), batch.schema.get_field_index("__later")
         out, total, lost = [], [], []
-        for t, later in zip(batch.column(text).to_pylist(), batch.column(gone).to_pylist(), strict=True):
+        for t, later in zip(batch.column(text).to_pylist(), batch.columns[-1].to_pylist(), strict=True):
             lines = (t or "").split("\n")
             solid = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")] if t else []
             drop = {solid[p + k] for p in later or () for k in range(LINES) if p + k < len(solid)}
@@ -52,33 +54,34 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append("")
             else:
                 out.append("\n".join(x for i, x in enumerate(lines) if i not in drop))
-        columns = [pa.array(out, pa.string()) if i == text else c for i, c in enumerate(batch.columns) if i != gone]
-        names = [x for x in batch.schema.names if x != "__later"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "__lines", "__removed"])
+        columns = [pa.array(out, pa.string()) if i == text else c for i, c in enumerate(batch.columns[:-1])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "lines", "removed"])
 
 
 def later_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, __later): first lines of the windows that are not the first of their kind."""
+    """(doc_id, later): first lines of the windows that are not the first of their kind."""
     per_doc = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_windows, "doc_id long, w array<long>")
     rows = cut(per_doc.where("size(w) > 0"), "windows").select("doc_id", F.posexplode("w").alias("p", "h"))
     first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "p")).alias("first")).where("n > 1").select("h", F.col("first.doc_id").alias("d1"), F.col("first.p").alias("p1"))
     later = rows.join(first, "h").where("doc_id <> d1 or p <> p1")
-    return later.groupBy("doc_id").agg(F.collect_set("p").alias("__later"))  # at most the document's lines
+    return later.groupBy("doc_id").agg(F.collect_set("p").alias("later"))  # at most the document's lines
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, text cleaned, and __lines and __removed behind them."""
+    """docs with the same columns, text cleaned, and two more behind them: lines with a word, and how many of them went.
+
+    These are `__lines` and `__removed`, with underscores added where docs has such columns.
+    """
     arm(docs.sparkSession)
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    later = later_windows(docs).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(later, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
-    return joined.mapInArrow(_without, schema)
+    rows, doc, text = plain(docs)
+    later = later_windows(rows.select(F.col(f"c{doc}").alias("doc_id"), F.col(f"c{text}").alias("text"))).withColumnRenamed("doc_id", "doc")
+    joined = rows.join(later, F.col(f"c{doc}").cast("long") == F.col("doc"), "left").drop("doc")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lines", T.LongType()), T.StructField("removed", T.LongType())])
+    return joined.mapInArrow(partial(_without, text=text), schema).toDF(*docs.columns, *unused(docs.columns, "__lines", "__removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).toDF("doc_id", "text", "n_lines", "n_removed")
 
 
 def lines_sql(source: str) -> str:

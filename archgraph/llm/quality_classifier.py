@@ -9,7 +9,11 @@ Labels come from rows whose crc32(doc_id as text) mod 5 is not 0, at most SAMPLE
 least by a hash of doc_id. doc_id, lang, source and labels are never inputs of a score.
 
 Nulls and edges: a null text is an empty one and is scored; rows with a null label are not
-learned from; with no labels, or labels of one kind, every score is their (smoothed) rate.
+learned from; with no labels, or labels of one kind, every score is their (smoothed) rate. Rows
+that repeat a doc_id are scored each for itself; the model learns from one of them, that of the
+least text, and of repeated labels from the highest. Equal texts (ties) score alike; a score at
+the threshold is accepted. Texts are measured whole, however long. An empty table gives no row.
+Columns of docs may have any names; they are no inputs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archgraph.llm.stats import measure
-from archgraph.llm.store import arm, table
+from archgraph.llm.store import arm, plain, table
 from archgraph.llm.text import chunks
 
 #: Labelled rows that are learned from, at most.
@@ -172,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out()).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("__y"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")  # SAMPLE bounds it
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("__y").alias("__y"))  # one row of a repeated doc_id, so SAMPLE bounds these too
     rows = with_features(known).toPandas().sort_values("doc_id", kind="stable")
     x = rows[[f"__{f}" for f in FEATURES]].to_numpy(float)
     return fit(x, rows["__y"].to_numpy(float))
@@ -189,10 +194,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, with their columns."""
     arm(docs.sparkSession)
     model = train(docs, labels)
-    body = docs.withColumn("__text", F.col("text"))
-    fields = [f for f in body.schema.fields if f.name != "text"]
-    good = with_features(body.select(*(f.name for f in fields), "text")).where(model.score() >= THRESHOLD)
-    return good.select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    rows, _, text = plain(docs)
+    return with_features(rows.withColumn("text", F.col(f"c{text}"))).where(model.score() >= THRESHOLD).select(*rows.columns).toDF(*docs.columns)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

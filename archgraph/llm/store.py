@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -46,8 +47,28 @@ def arm(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    # A batch of rows is held by a Python worker at once.
+    # A batch of rows is held by a Python worker at once: it is bounded in rows and in bytes.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def plain(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs with columns c0, c1 ..., which clash with nothing, and the places of doc_id and of text, a string."""
+    names = [x.lower() for x in docs.columns]
+    doc, text = names.index("doc_id"), names.index("text")
+    found = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return found.withColumn(f"c{text}", F.col(f"c{text}").cast("string")), doc, text
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind those that are taken."""
+    taken, out = {x.lower() for x in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

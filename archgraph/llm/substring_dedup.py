@@ -9,13 +9,17 @@ clauses which two documents have by chance inside their lines do no harm. What i
 reaches from the end of the word before to the end of the run; its offsets in the original text
 are kept as spans.
 
-Nulls and edges: a null text stays null, a null doc_id is left as it is, rows that repeat a
-doc_id count as one document, texts without words have no unit.
+Nulls and edges: a null text stays null, a null doc_id is left as it is, texts without words have
+no unit. Rows that repeat a doc_id count as one document: their units of equal place are one
+occurrence, and what goes by place goes from each of them. Ties of (doc_id, place) don't arise
+otherwise. Texts are cut whole, however long. An empty table gives no row. Columns of docs may
+have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archgraph.llm.store import arm, cut, table
+from archgraph.llm.store import arm, cut, plain, table, unused
 from archgraph.llm.text import Segments, Words, chunks, list_array, signed
 
 CLAUSE_WORDS, RUN_WORDS = 4, 25
@@ -89,15 +93,14 @@ def cuts(later: list[int], sizes: np.ndarray, line: np.ndarray) -> list[tuple[in
     return list(zip(first, last, strict=True))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
-            where, gone = part.schema.get_field_index("text"), part.schema.get_field_index("__later")
+        for part in chunks(batch, batch.schema.names[where]):
             words = Words(part.column(where), lower=True)
             found = units(words)
             old = part.column(where).to_pylist()
             new, lost, spans = list(old), [0] * len(old), [""] * len(old)
-            for r, later in enumerate(part.column(gone).to_pylist()):
+            for r, later in enumerate(part.columns[-1].to_pylist()):
                 if not later or old[r] is None:
                     continue
                 u0, w0, b0 = int(found.row_at[r]), int(words.row_at[r]), int(words.at[r])
@@ -118,35 +121,36 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = end
                     said.append(f"{point[int(words.start[first]) - b0]}-{point[end]}")
                 new[r], spans[r] = b"".join([*kept, raw[at:]]).decode(), " ".join(said)
-            columns = [pa.array(new, pa.string()) if i == where else c for i, c in enumerate(part.columns) if i != gone]
-            names = [x for x in part.schema.names if x != "__later"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(words.row_at), pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.string())], names=[*names, "__words", "__removed", "__spans"])
+            columns = [pa.array(new, pa.string()) if i == where else c for i, c in enumerate(part.columns[:-1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(words.row_at), pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.string())], names=[*part.schema.names[:-1], "words", "removed", "spans"])
 
 
 def later_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, __later): codes of the units that occur earlier already, and of the lines that do as whole lines."""
+    """(doc_id, later): codes of the units that occur earlier already, and of the lines that do as whole lines."""
     per_doc = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digests, "doc_id long, h array<long>, code array<int>")
     rows = cut(per_doc.where("size(h) > 0"), "units").select("doc_id", F.explode(F.arrays_zip("h", "code")).alias("u")).select("doc_id", "u.h", "u.code")
     place, whole = F.struct("doc_id", "code"), F.col("code") % KINDS != CLAUSE
     first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min(F.when(whole, place)).alias("line")).where("n > 1").drop("n")
     later = rows.join(first, "h").where(place != F.col("first"))
     found = F.when(whole & (place == F.col("line")), F.col("code") - F.col("code") % KINDS).otherwise(F.col("code"))  # an earlier clause makes no whole line
-    return later.groupBy("doc_id").agg(F.collect_set(found).alias("__later"))  # at most the document's units and lines
+    return later.groupBy("doc_id").agg(F.collect_set(found).alias("later"))  # at most the document's units and lines
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, text cleaned, and __words, __removed and __spans behind them."""
+    """docs with the same columns, text cleaned, and three more behind them: words, how many of them went, and the spans that went.
+
+    These are `__words`, `__removed` and `__spans`, with underscores added where docs has such columns.
+    """
     arm(docs.sparkSession)
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    later = later_units(docs).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(later, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__removed", T.LongType()), T.StructField("__spans", T.StringType())])
-    return joined.mapInArrow(_without, schema)
+    rows, doc, text = plain(docs)
+    later = later_units(rows.select(F.col(f"c{doc}").alias("doc_id"), F.col(f"c{text}").alias("text"))).withColumnRenamed("doc_id", "doc")
+    joined = rows.join(later, F.col(f"c{doc}").cast("long") == F.col("doc"), "left").drop("doc")
+    schema = T.StructType([*rows.schema.fields, T.StructField("words", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.StringType())])
+    return joined.mapInArrow(partial(_without, where=text), schema).toDF(*docs.columns, *unused(docs.columns, "__words", "__removed", "__spans"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("spans"))
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).toDF("doc_id", "text", "n_words", "n_removed", "spans")
 
 
 def units_sql(source: str) -> str:
@@ -164,15 +168,25 @@ l9_tok AS (
 ), l9_cut AS (
   SELECT *, nl OR (stop AND lag(size) OVER (PARTITION BY doc_id ORDER BY i) >= {CLAUSE_WORDS}) AS fresh FROM l9_size
 ), l9_unit AS (
-  SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l9_cut
+  SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS unit, sum(CASE WHEN nl THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM l9_cut
+), l9_line AS (
+  SELECT doc_id, line, string_agg(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY i) AS norm FROM l9_unit GROUP BY doc_id, line
+), l9_again AS (
+  SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line) AS k FROM l9_line) WHERE k > 1
 ), l9_units AS (
-  SELECT doc_id, unit, count(*) AS words, string_agg(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY i) AS norm,
+  SELECT doc_id, unit, min(line) AS line, count(*) AS words, string_agg(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY i) AS norm,
     min(upto - len(w)) AS a, max(upto) AS b FROM l9_unit GROUP BY doc_id, unit
 ), l9_later AS (
   SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island
   FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS k FROM l9_units) WHERE k > 1
+), l9_long AS (
+  SELECT doc_id, min(unit) AS u0, max(unit) AS u1 FROM l9_later GROUP BY doc_id, island HAVING sum(words) >= {RUN_WORDS}
+), l9_gone AS (
+  SELECT u.* FROM l9_units u JOIN l9_again USING (doc_id, line)
+  UNION SELECT u.* FROM l9_units u JOIN l9_long g ON g.doc_id = u.doc_id AND u.unit BETWEEN g.u0 AND g.u1
 ), l9_runs AS (
-  SELECT doc_id, min(unit) AS u0, max(unit) AS u1, min(a) AS a, max(b) AS b, sum(words) AS words FROM l9_later GROUP BY doc_id, island HAVING sum(words) >= {RUN_WORDS}
+  SELECT doc_id, min(unit) AS u0, max(unit) AS u1, min(a) AS a, max(b) AS b, sum(words) AS words
+  FROM (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM l9_gone) GROUP BY doc_id, island
 ), l9_spans AS (
   SELECT doc_id, string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ' ' ORDER BY a) AS spans, CAST(sum(words) AS BIGINT) AS gone FROM l9_runs GROUP BY doc_id
 ), l9_kept AS (
