@@ -15,36 +15,68 @@ from archgraph.llm import line_dedup, near_dedup, packing, quality_classifier, s
 from archgraph.llm.store import cut, table
 
 
-def _rewritten(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The columns of docs with the cleaned texts; documents that lost their last word go."""
-    solid = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = F.col("__removed") > 0
-    return found.where(~changed | solid).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+def _rewritten(docs: DataFrame, found: DataFrame, removed: int) -> DataFrame:
+    """The columns of docs with the cleaned texts; documents that lost their last word go. removed: place of the figure behind them.
+
+    A null or empty text lost nothing and stays.
+    """
+    names = docs.columns
+    rows = found.toDF(*(f"c{i}" for i in range(len(found.columns))))
+    text, size = F.col(f"c{names.index('text')}"), names.index("n_chars")
+    changed = F.col(f"c{len(names) + removed}") > 0
+    kept = rows.where(~changed | text.rlike(r"[^\x20\x09-\x0D]"))
+    kept = kept.withColumn(f"c{size}", F.when(changed, F.length(text).cast("long")).otherwise(F.col(f"c{size}")))
+    return kept.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts.
+
+    A null text is scored as an empty one; rows that repeat a doc_id, or have none, are scored each
+    for itself; equal texts are accepted or rejected together, as whole texts of any length; without
+    labels all are accepted. An empty table stays empty; columns may have any names.
+    """
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows are removed."""
-    return _rewritten(docs, line_dedup.dedup_lines(docs))
+    """Later occurrences of three-line windows are removed; a document left without a word goes.
+
+    Null texts and rows without a doc_id stay as they are; rows that repeat a doc_id are one document;
+    texts may have any length; an empty table stays empty; columns may have any names.
+    """
+    return _rewritten(docs, line_dedup.dedup_lines(docs), 1)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
+    """One document of each group of near duplicates, that of the smallest id.
+
+    Null and empty texts are like nothing and stay, as do rows without a doc_id; of a repeated doc_id
+    all rows stay or all go; texts may have any length; an empty table stays empty; columns may have
+    any names.
+    """
+    names = docs.columns
+    gone = near_dedup.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return rows.join(gone, F.col(f"c{names.index('doc_id')}").cast("long") == F.col("gone"), "left_anti").toDF(*names)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of passages are removed."""
-    return _rewritten(docs, substring_dedup.dedup_substrings(docs))
+    """Later occurrences of lines and passages are removed; a document left without a word goes.
+
+    Null texts and rows without a doc_id stay as they are; rows that repeat a doc_id are one document;
+    texts may have any length; an empty table stays empty; columns may have any names.
+    """
+    return _rewritten(docs, substring_dedup.dedup_substrings(docs), 1)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences.
+
+    A null or empty text is a piece of the end token alone; rows that repeat a doc_id, or have none,
+    are packed each for itself; longer documents are cut; an empty table gives no row; other columns,
+    of whatever names, are left out.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
