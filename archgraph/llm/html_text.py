@@ -1,21 +1,25 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut at block-level tags into flat blocks of text. A block is described by its word
-count and link density and those of its neighbours, by how it is marked up (inside an article,
-a navigation or other page furniture, a heading, names of enclosing classes), and a decision
-tree says whether it is main text. The tree is grown at import from a small labelled table: the
-blocks of the sample pages below, in which main blocks carry the attribute `main`.
+count and link density and those of its neighbours, and by how it is marked up (inside an
+article, in a navigation or other page furniture by tag or class names, a heading),
+and a decision tree says whether it is main text. The tree is grown once a process from a small
+labelled table, the blocks of `samples`. Where pages mark their article, markup decides there;
+where they don't, words and link densities of block and neighbours do.
 
 Scripts, styles and comments never become text. Character references are decoded, white space
 inside a block becomes one space, and main blocks are joined by two newlines in page order.
 
-Nulls and edges: a null or empty page has no text; unclosed and misnested tags are tolerated;
-page_id and url may be null; whole pages are parsed, however long.
+Nulls and edges: a null or empty page has no text; unclosed and misnested tags are tolerated, as
+are quotes that never close; page_id and url may be null; rows that repeat a page_id are pages of
+their own, equal pages give equal texts; whole pages are parsed, in time proportional to their
+length. An empty table gives no row; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,12 +32,12 @@ from pyspark.sql import functions as F
 from archgraph.llm.store import arm, table
 from archgraph.llm.text import chunks
 
-_MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|select|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
-    re.S | re.I,
-)
+#: A tag without < or > in its attributes, which nearly all are; others are read by `Tags.end`.
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"'=]++|=[ \t\n\r\f]*+(?:\"[^\"<>]*+\"|'[^'<>]*+')|=(?![ \t\n\r\f]*+[\"']))*+)>")
+_NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
+_STOP = re.compile(r">|=[ \t\n\r\f]*+[\"']")
+#: Elements whose content is no text, up to their closing tag.
+_RAW = {n: re.compile(rf"</{n}(?![A-Za-z0-9:-])[^>]*+>", re.I) for n in ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "object", "title")}
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _FURNITURE = re.compile(
@@ -45,12 +49,101 @@ _REGIONS = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialo
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading", "page_has_article"]
-
-
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """Flat blocks: text, words, words inside links, in page furniture, in an article, heading."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "prose_before", "prose_after", "furniture", "article", "heading", "page_has_article"]
+
+
+#: prose_before and prose_after: words of the longest block without many links among so many neighbours.
+REACH = 3
+
+
+class Tags:
+    """The tags of a page in order, in time proportional to its length whatever its quotes are.
+
+    A quote counts only where an attribute's value begins, and if it is closed again. A tag that
+    never ends so is ended by its first >, and is text if there is none.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open_ended: dict[str, bool] = {}  # what was looked for in vain; it isn't further on either
+        self.dead = bytearray()  # outside quotes, on the way to no end
+
+    def find(self, what: str, at: int) -> int:
+        if self.open_ended.get(what):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.open_ended[what] = True
+        return found
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at `at`; -1 if there is none."""
+        page, begin, quiet = self.page, at, []
+        while not (self.dead and self.dead[at]):
+            m = _STOP.search(page, at)
+            if m is None:
+                quiet.append((at, len(page)))
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.find(m[0][-1], m.end())
+            stop = m.end() if close < 0 else close + 1
+            quiet.append((at, m.end() if close < 0 else m.start() + 1))
+            at = stop
+            if at >= len(page):
+                break
+        if not self.dead:
+            self.dead = bytearray(len(page) + 1)
+        for a, b in quiet:
+            self.dead[a:b] = b"\1" * (b - a)
+        return self.find(">", begin)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """(start, end, name, is it closing, attributes); without a name what is no text: comments, declarations, raw content."""
+        page, page_at = self.page, 0
+        while (at := self.find("<", page_at)) >= 0:
+            m = _TAG.match(page, at)
+            if m:
+                end, name, closing, attributes = m.end(), m[2].lower(), bool(m[1]), m[3]
+            elif page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                yield at, len(page) if end < 0 else end + 3, None, False, ""
+                page_at = len(page) if end < 0 else end + 3
+                continue
+            elif page.startswith(("<!", "<?"), at):
+                mark = "]]>" if page.startswith("<![CDATA[", at) else ">"
+                end = self.find(mark, at)
+                if end < 0 and mark == ">":
+                    page_at = at + 1
+                    continue
+                page_at = len(page) if end < 0 else end + len(mark)
+                yield at, page_at, None, False, ""
+                continue
+            else:
+                n = _NAME.match(page, at)
+                end = self.end(n.end()) + 1 if n else 0
+                if not end:
+                    page_at = at + 1
+                    continue
+                name, closing, attributes = n[1].lower(), page[at + 1] == "/", page[n.end() : end - 1]
+            if not closing and name in _RAW and not attributes.rstrip().endswith("/"):
+                close = None if self.open_ended.get(name) else _RAW[name].search(page, end)
+                if close is None:
+                    self.open_ended[name] = True
+                page_at = close.end() if close else len(page)
+                yield at, page_at, None, False, ""
+                continue
+            page_at = end
+            yield at, end, name, closing, attributes
+
+
+#: Text, words, words inside links, in page furniture, in an article, heading.
+Block = tuple[str, int, int, bool, bool, bool]
+
+
+def blocks(page: str) -> list[Block]:
+    """The flat blocks of a page."""
+    out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # name, and what it adds to furniture and article
     furniture = article = anchors = 0
     parts: list[str] = []
@@ -66,21 +159,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             parts.clear()
             linked.clear()
 
-    for m in _MARK.finditer(page):
-        if m.start() > at:
-            text = page[at : m.start()]
+    for start, end, name, closing, attributes in Tags(page):
+        if start > at:
+            text = page[at:start]
             parts.append(text)
             if anchors:
                 linked.append(text)
-        at = m.end()
-        name = m[3]
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name == "br":
             parts.append(" ")
             continue
-        if m[2]:
+        if closing:
             if name in _BLOCKS:
                 flush()
             if name in _HEADINGS:
@@ -103,10 +194,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 anchors -= n == "a"
         if name in _HEADINGS:
             heading = True
-        if name in _VOID or m[4].rstrip().endswith("/"):
+        if name in _VOID or attributes.rstrip().endswith("/"):
             continue
-        named = " ".join(x or y or z for x, y, z in _NAMES.findall(m[4])) if m[4] else ""
-        f = int(name in _REGIONS or bool(named and name not in ("body", "html", "article", "main") and _FURNITURE.search(named)) or bool(m[4] and _HIDDEN.search(m[4])))
+        named = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes)) if attributes else ""
+        region = name in _REGIONS and not (name == "header" and article)  # an article's own header holds its title
+        f = int(region or bool(named and name not in ("body", "html", "article", "main") and _FURNITURE.search(named)) or bool(attributes and _HIDDEN.search(attributes)))
         a = int(name in ("article", "main"))
         stack.append((name, f, a))
         furniture += f
@@ -118,7 +210,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     return out
 
 
-def describe(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
+def describe(found: list[Block]) -> np.ndarray:
     """The features of a page's blocks, one row each."""
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
@@ -129,48 +221,112 @@ def describe(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
     x[:, 0], x[:, 1] = w, d
     x[1:, 2], x[1:, 3] = w[:-1], d[:-1]
     x[:-1, 4], x[:-1, 5] = w[1:], d[1:]
-    x[:, 6] = [b[3] for b in found]
-    x[:, 7] = [b[4] for b in found]
-    x[:, 8] = [b[5] for b in found]
-    x[:, 9] = x[:, 7].any()
+    prose = np.concatenate([np.zeros(REACH), np.where(d < 0.5, w, 0), np.zeros(REACH)])
+    for k in range(REACH):
+        x[:, 6] = np.maximum(x[:, 6], prose[k : k + n])
+        x[:, 7] = np.maximum(x[:, 7], prose[REACH + 1 + k : REACH + 1 + k + n])
+    for k in range(8, 11):
+        x[:, k] = [b[k - 5] for b in found]
+    x[:, 11] = x[:, 9].any()
     return x
 
 
-_LONG = "In the valley below the old bridge a small market opens every week, and people from the villages bring cheese, bread and wool to sell there before noon."
-_MORE = "Nobody remembers when it began, but the records of the parish mention it for the first time in the year of the great flood, together with a complaint."
-_MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News and stories</a></li><li><a href="/c">Contact</a></li></ul>'
-#: Sample pages; blocks whose tag has the attribute main are main text. Each is used with paragraphs of several lengths.
-SAMPLES = [
-    '<html><body><nav>@MENU@</nav><div class="ad">Buy two and get one free this week only.</div><article><h1 main>The market</h1><p main>@LONG@<p main>@MORE@</article><footer>&copy; 2020 Valley News. All rights reserved by the owners.</footer></body></html>',
-    '<body><header><a href="/">Valley</a> <span>News every day</span></header><main><h1 main>Short</h1><p main>Yes.</p><p main>@LONG@</p></main><aside><h3>Most read</h3><p>@MORE@</p></aside><footer>Imprint and terms</footer></body>',
-    '<body><div class="cookie-notice"><p>We use cookies to improve this site and to show you offers that fit. <a href="#">Learn more</a></p></div><div class="content"><h2 main>Market days</h2><p main>@LONG@</p><p main>@MORE@</p></div><div class="sidebar"><p>@MORE@</p><a href="/x">Archive of all stories</a></div></body>',
-    '<body><div id="menu">@MENU@</div><div><h1 main>Wool</h1><p main>@LONG@ See <a href="/w">wool</a> too.</p><p main>@MORE@</p></div><div class="comments"><h3>Comments</h3><p>@LONG@</p><p>Nice story, thank you.</p></div></body>',
-    '<body><article><h1 main>Bread</h1><p main>Bread.</p><ul><li main>rye</li><li main>wheat</li></ul><blockquote main>@MORE@</blockquote><div class="share"><a href="/s">Share this</a></div><section class="comments"><p>@MORE@</p></section></article><form><p>Subscribe to our weekly letter</p><label>Your mail</label></form></body>',
-    '<body>@MENU@<p main>@LONG@</p><p main>@MORE@</p><p main>@LONG@ And so it goes on until the snow comes.</p><p><a href="/1">Next story in this series</a></p><p><a href="/2">Previous story</a> <a href="/3">All</a></p></body>',
-    '<body><article><p main>Only a line.</p></article><div class="banner">Sale ends on Sunday evening at eight.</div><footer><p>@MORE@</p></footer></body>',
-    '<body><article><p main>@MORE@</p><aside><p>@LONG@</p></aside><p main>An end.</p><p main><a href="/source">The source of this story in the archive</a></p></article><div>Back to top</div><div><a href="/t">Terms</a> <a href="/p">Privacy</a></div></body>',
-    '<body><article><h1 main>Cheese</h1><p main>@LONG@</p><p main>@MORE@</p></article></body>',
-    '<body><nav>@MENU@</nav><article><p main>@LONG@</p><p main>Cheese.</p></article></body>',
-    '<body><p main>@LONG@</p><p main>@MORE@</p></body>',
-    '<body>@MENU@<p main>@LONG@</p></body>',
-    '<body><div>Valley News</div><div>Monday</div><div><p main>@LONG@</p><p main>@MORE@</p></div></body>',
-    '<body><main><p main>@LONG@</p></main><div>All rights reserved</div></body>',
-    '<body><div><a href="/l">Log in</a></div><article><p main>@MORE@</p></article><p>Valley Press</p><p>Since 1901</p></body>',
-    '<body><div><a href="/l">Log in</a></div><div><p main>@LONG@</p></div><div><p main>@MORE@ @LONG@</p></div><div>Printed by Valley Press</div></body>',
-]
+_SENTENCES = (
+    "In the valley below the old bridge a small market opens every week, and people from the villages bring cheese, bread and wool to sell there before noon.",
+    "Nobody remembers when it began, but the records of the parish mention it for the first time in the year of the great flood, together with a complaint.",
+    "The baker comes first, long before the sun is over the ridge.",
+    "Wool is sold by weight, and the scales are older than the town hall.",
+    "When snow closes the pass the stalls move into the barn behind the inn, where it is warm and loud and the children play between the sacks until they are sent home.",
+)
+_SHORTS = ("Yes.", "It rains.", "So it went on.", "Cheese and bread.", "rye", "two pounds of wool", "The end of winter.")
+_TITLES = ("The market", "Wool", "How the market in the valley began", "Bread and cheese")
+_LINKS = ("Home", "News and stories", "Contact", "Archive of all stories", "Log in", "Terms", "Next story in this series", "Our prices")
+_LINES = ("Valley News", "Monday", "All rights reserved", "Printed by Valley Press", "Back to top", "Since 1901", "Share this", "Most read this week")
+
+
+def samples(pages: int = 720) -> Iterator[tuple[str, list[bool]]]:
+    """The labelled pages: html, and for each of its blocks whether it is main text.
+
+    A third marks the article as such, a third names the furniture's regions only, and a third
+    does neither, so that there words and link densities of a block and its neighbours must tell.
+    """
+    rng = random.Random(10)
+    for k in range(pages):
+        said: list[bool] = []
+        out: list[str] = []
+
+        def put(tag: str, text: str, main: bool, said=said, out=out) -> None:
+            out.append(f"<{tag}>{text}</{tag.split()[0]}>")
+            said.append(main)
+
+        def prose() -> str:
+            return " ".join(rng.choice(_SENTENCES) for _ in range(rng.choice((1, 1, 2, 4, 9))))
+
+        marked, named = k % 3 == 0, k % 3 == 1
+
+        def menu(n: int) -> None:
+            for _ in range(n):
+                put("li" if rng.random() < 0.7 else "div", f'<a href="/x">{rng.choice(_LINKS)}</a>', False)
+
+        def region(name: str, build) -> None:
+            if marked or named:
+                out.append(f"<{name}>")
+            build()
+            if marked or named:
+                out.append(f"</{name.split()[0]}>")
+
+        def lines(n: int) -> None:
+            if (marked or named) and rng.random() < 0.3:
+                put("h3", rng.choice(_TITLES), False)
+            for _ in range(n):
+                put(rng.choice(("div", "p")), rng.choice(_LINES), False)
+
+        if rng.random() < 0.6:
+            region(rng.choice(("nav", "header", 'div class="menu"', 'ul id="navigation"')), lambda: menu(rng.randrange(2, 7)))  # noqa: B023
+        if rng.random() < 0.5:
+            region(rng.choice(("header", 'div class="site-header"')), lambda: lines(rng.randrange(1, 3)))  # noqa: B023
+        if (marked or named) and rng.random() < 0.6:
+            region(rng.choice(('div class="ad"', 'div id="cookie-notice"', "aside", 'div class="promo banner"')), lambda: put("p", prose(), False))  # noqa: B023
+        if marked and rng.random() < 0.4:
+            put(rng.choice(("div", "p")), prose(), False)  # text outside the article
+        if marked:
+            out.append(rng.choice(("<article>", "<main>")))
+        if rng.random() < 0.8:
+            put(rng.choice(("h1", "h2")), rng.choice(_TITLES), True)
+        n = rng.choice((1, 2, 3, 5, 8))
+        for i in range(n):
+            short = marked or 0 < i < n - 1  # told apart by its neighbours where nothing is marked
+            if short and rng.random() < 0.4:
+                put(rng.choice(("p", "p", "li", "td", "blockquote", "div")), rng.choice(_SHORTS), True)
+            elif short and rng.random() < 0.1:
+                put("p", f'<a href="/s">{rng.choice(_SENTENCES)}</a>', True)
+            else:
+                put(rng.choice(("p", "p", "div")), prose() + (' See <a href="/w">the list</a> too.' if rng.random() < 0.3 else ""), True)
+            if marked and rng.random() < 0.15:  # furniture inside the article
+                inner = rng.choice(("aside", "nav", 'div class="share"', 'div class="comments"', "form", 'div class="advert"'))
+                region(inner, lambda: (put("p", prose(), False), put(rng.choice(("div", "p")), rng.choice(_LINES), False), menu(1), put("li", rng.choice(_SHORTS), False)))  # noqa: B023
+        if marked:
+            out.append("</article>" if "<article>" in out else "</main>")
+            if rng.random() < 0.3:
+                put(rng.choice(("div", "p")), prose(), False)
+        if (marked or named) and rng.random() < 0.4:
+            region(rng.choice(('div class="comments"', 'section id="disqus"')), lambda: (put("h4", "Comments", False), put("p", prose(), False), put("p", rng.choice(_SHORTS), False)))  # noqa: B023
+        if (marked or named) and rng.random() < 0.5:
+            region(rng.choice(("aside", 'div class="sidebar"')), lambda: (put("h3", rng.choice(_LINES), False), put("p", prose(), False), menu(2)))  # noqa: B023
+        elif rng.random() < 0.6:
+            menu(rng.randrange(1, 4))
+        if rng.random() < 0.7:
+            region(rng.choice(("footer", 'div class="footer"')), lambda: lines(rng.randrange(1, 4)))  # noqa: B023
+        yield "".join(out), said
 
 
+@lru_cache(1)
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     """The small labelled table: features of the samples' blocks, and whether they are main text."""
     x, y = [], []
-    for sample in SAMPLES:
-        # Only inside an article are a few words enough to be main text.
-        for times in (0, 1, 3, 10) if "<article" in sample or "<main" in sample else (1, 3, 10):
-            long, more = (" ".join([t] * times) if times else " ".join(t.split()[:3]) for t in (_LONG, _MORE))
-            page = sample.replace("@LONG@", long).replace("@MORE@", more).replace("@MENU@", _MENU)
-            marked = blocks(re.sub(r"<(\w+) main>", "<\\1>\x01 ", page))
-            x.append(describe(blocks(page.replace(" main>", ">"))))
-            y.extend(b[0].startswith("\x01") for b in marked)
+    for page, said in samples():
+        x.append(describe(blocks(page)))
+        y.extend(said)
     return np.concatenate(x), np.array(y)
 
 
@@ -178,12 +334,12 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
 Tree = bool | tuple[int, float, "Tree", "Tree"]
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
-    """A decision tree by Gini impurity; of equal splits, the one on the earlier of the last features."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, use: tuple[int, ...] = (8, 9, 11, 10, 7, 6, 5, 4, 3, 2, 1, 0)) -> Tree:
+    """A decision tree by Gini impurity over the features in `use`; of equal splits, the one on the feature that comes first there."""
     if depth == 0 or y.all() or not y.any():
         return bool(2 * y.sum() >= len(y))
     best: tuple[float, int, float] | None = None
-    for f in (6, 7, 9, 1, 0, 8, 3, 5, 2, 4):
+    for f in use:
         values = np.unique(x[:, f])
         for t in (values[:-1] + values[1:]) / 2:
             under = x[:, f] <= t
@@ -195,7 +351,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
         return bool(2 * y.sum() >= len(y))
     _, f, t = best
     under = x[:, f] <= t
-    return (f, t, grow(x[under], y[under], depth - 1), grow(x[~under], y[~under], depth - 1))
+    return (f, t, grow(x[under], y[under], depth - 1, use), grow(x[~under], y[~under], depth - 1, use))
 
 
 @lru_cache(1)
