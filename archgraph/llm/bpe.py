@@ -5,10 +5,15 @@ lookahead of the pattern needs to know). An automaton over these classes marks w
 of the pattern begin. Its transition functions form a small monoid, so the states at all code
 points come from an associative scan: functions are composed within blocks, for all blocks at
 once, and the blocks' totals are scanned in the same way. The slices between marks are merged
-pair by pair; slices seen before come from a bounded cache. Byte offsets of every token are
-kept by `encode`, so that ids decode to the text and to any part of it.
-
-Nulls and edges: a null text is encoded as an empty one; empty texts have no ids.
+pair by pair; slices seen before come from a bounded cache. A slice is merged in parts where it
+holds two bytes that are side by side in no token, as no merge can cross there; texts without
+spaces fall into short parts so. The byte offset of every token is kept: decoding copies each
+token's bytes to its offset, and ids decode to the text or to any part of it.
+
+Nulls and edges: a null text is encoded as an empty one; empty texts have no ids; texts are encoded
+whole, however long. A null doc_id is carried along; rows that repeat a doc_id are texts of their
+own, and equal texts have equal ids. Ties: of pairs of equal rank the leftmost is merged. An empty
+table gives no row; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -175,6 +180,8 @@ class Pairs:
                 slot = slot + 1 & mask
             self.key[slot], self.rank[slot], self.new[slot] = k, r, v
 
+        self.known: dict[int, tuple[int, int]] = dict(zip(keys.tolist(), zip(rank.tolist(), new.tolist(), strict=True), strict=True))
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -194,25 +201,51 @@ def _merge_long(symbols: list[int], pairs: Pairs) -> list[int]:
     """Pair merging with a heap, for slices of any length."""
     n = len(symbols)
     nxt, prv, sym = list(range(1, n + 1)), list(range(-1, n - 1)), list(symbols)
-    first = pairs.find(np.array(sym[:-1]), np.array(sym[1:]))
-    heap = [(int(r), i, sym[i], sym[i + 1], int(v)) for i, (r, v) in enumerate(zip(pairs.rank[first], pairs.new[first], strict=True)) if r != NONE]
+    known = pairs.known.get
+    heap = []
+    for i in range(n - 1):
+        if hit := known(sym[i] << 20 | sym[i + 1]):
+            heap.append((hit[0], i, sym[i], sym[i + 1], hit[1]))
     heapq.heapify(heap)
-    dead = [False] * (n + 1)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, a, b, v = heapq.heappop(heap)
+        _, i, a, b, v = pop(heap)
         j = nxt[i]
-        if dead[i] or j >= n or sym[i] != a or sym[j] != b:
+        if sym[i] != a or j >= n or sym[j] != b:
             continue
-        sym[i], dead[j] = v, True
-        nxt[i] = nxt[j]
-        if nxt[j] < n:
-            prv[nxt[j]] = i
-        for p, q in ((prv[i], i), (i, nxt[i])):
-            if p >= 0 and q < n:
-                s = int(pairs.find(np.array([sym[p]]), np.array([sym[q]]))[0])
-                if pairs.rank[s] != NONE:
-                    heapq.heappush(heap, (int(pairs.rank[s]), p, sym[p], sym[q], int(pairs.new[s])))
-    return [s for s, x in zip(sym, dead, strict=False) if not x]
+        sym[i], sym[j] = v, -1
+        k = nxt[i] = nxt[j]
+        if k < n:
+            prv[k] = i
+            if hit := known(v << 20 | sym[k]):
+                push(heap, (hit[0], i, v, sym[k], hit[1]))
+        k = prv[i]
+        if k >= 0 and (hit := known(sym[k] << 20 | v)):
+            push(heap, (hit[0], k, sym[k], v, hit[1]))
+    return [x for x in sym if x >= 0]
+
+
+def beside(tokens: Iterable[bytes]) -> np.ndarray:
+    """For each two bytes, whether a token has them side by side."""
+    out = np.zeros((256, 256), bool)
+    for t in tokens:
+        for x, y in zip(t, t[1:], strict=False):
+            out[x, y] = True
+    return out
+
+
+def merge_apart(raw: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, pairs: Pairs, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`merge` of slices whose bytes are raw, in parts that end between bytes which are beside each other in no token."""
+    if not len(raw):
+        return merge(symbols, sizes, pairs)
+    first = np.zeros(len(raw), bool)
+    first[1:] = ~near[raw[:-1], raw[1:]]
+    begin = np.cumsum(sizes) - sizes
+    first[begin[sizes > 0]] = True
+    parts = np.flatnonzero(first)
+    ids, kept = merge(symbols, np.diff(np.append(parts, len(raw))), pairs)
+    upto = np.append(0, np.cumsum(kept))
+    return ids, np.diff(upto[np.searchsorted(parts, np.append(begin, len(raw)))])
 
 
 def merge(flat: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -281,23 +314,29 @@ class ByteBPE:
         rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         self.pairs = Pairs(left, right, rank, rank)
-        self.cache: dict[bytes, bytes] = {}
-        self.by_text = {b"%d" % v: k for k, v in ranks.items()}
+        self.near = beside(ranks)
+        #: Of a slice, its ids in decimal, a space behind each, and packed as 32-bit numbers.
+        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        tokens = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.at = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def learn(self, new: list[bytes]) -> None:
         if len(self.cache) + len(new) > CACHE:
             self.cache.clear()
         raw = np.frombuffer(b"".join(new), np.uint8)
-        ids, sizes = merge(self.byte[raw], np.fromiter(map(len, new), np.int64, len(new)), self.pairs)
+        ids, sizes = merge_apart(raw, self.byte[raw], np.fromiter(map(len, new), np.int64, len(new)), self.pairs, self.near)
         shown = list(map(self.shown.__getitem__, ids.tolist()))
+        packed = ids.astype("<i4").tobytes()
         ends = np.cumsum(sizes).tolist()
         start = 0
         for piece, end in zip(new, ends, strict=True):
-            self.cache[piece] = b"".join(shown[start:end])
+            self.cache[piece] = b"".join(shown[start:end]), packed[4 * start : 4 * end]
             start = end
 
-    def encode_all(self, column: pa.Array) -> Iterator[bytes]:
-        """The ids of each text in decimal, a space behind each."""
+    def encode_both(self, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """The ids of each text, in decimal with a space behind each, and as an array."""
         rows = [x or "" for x in column.to_pylist()]
         whole = "".join(rows)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
@@ -316,17 +355,21 @@ class ByteBPE:
         found = list(map(self.cache.__getitem__, pieces))
         row_at = np.searchsorted(begins, at).tolist()
         for a, b in zip(row_at, row_at[1:], strict=False):
-            yield b"".join(found[a:b])
+            yield b"".join([x for x, _ in found[a:b]]), np.frombuffer(b"".join([x for _, x in found[a:b]]), "<i4")
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.by_text.__getitem__, ids.split()))
+    def encode_all(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text in decimal, a space behind each."""
+        return (shown for shown, _ in self.encode_both(column))
 
-    def offsets(self, ids: list[int]) -> list[int]:
+    def offsets(self, ids: np.ndarray | list[int]) -> np.ndarray:
         """The byte at which each token begins, and the end."""
-        out = [0]
-        for i in ids:
-            out.append(out[-1] + len(self.token[i]))
-        return out
+        return np.append(0, np.cumsum(self.size[np.asarray(ids, np.int64)]))
+
+    def decode(self, ids: bytes | np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """The text's bytes: each token's are copied to its offset. ids: an array, or in decimal."""
+        ids = np.array(ids.split(), np.int64) if isinstance(ids, bytes) else np.asarray(ids, np.int64)
+        offsets = self.offsets(ids) if offsets is None else offsets
+        return self.bytes[np.repeat(self.at[ids] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])].tobytes()
 
 
 @lru_cache(2)
@@ -342,23 +385,23 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         model = byte_bpe(path)
         for batch in batches:
             for part in chunks(batch):
-                ids = [[int(x) for x in s.split()] for s in model.encode_all(part.column("text"))]
+                ids = [x for _, x in model.encode_both(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([model.offsets(x) for x in ids], pa.list_(pa.int64()))], names=["doc_id", "ids", "offsets"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and the bytes that the ids stand for."""
+    """doc_id and the bytes that the ids stand for, put together by their offsets (of `encode`)."""
     arm(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_bpe(path)
         for batch in batches:
-            out = [b"".join(map(model.token.__getitem__, ids or ())) for ids in batch.column("ids").to_pylist()]
+            out = [model.decode(np.array(ids or (), np.int64), np.array(at or (0,), np.int64)) for ids, at in zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -370,10 +413,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 n, a, b = [], [], []
-                for ids in model.encode_all(part.column("text")):
-                    n.append(ids.count(b" "))
-                    a.append(hashlib.sha256(ids[:-1]).hexdigest())
-                    b.append(hashlib.sha256(model.decode(ids)).hexdigest())
+                for shown, ids in model.encode_both(part.column("text")):
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(shown[:-1]).hexdigest())
+                    b.append(hashlib.sha256(model.decode(ids, model.offsets(ids))).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

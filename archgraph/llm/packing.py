@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, pre_tokenizers
 
-from archgraph.llm.bpe import Pairs, merge
+from archgraph.llm.bpe import Pairs, beside, merge_apart
 from archgraph.llm.store import arm, cut, table
 from archgraph.llm.text import chunks
 
@@ -69,6 +69,8 @@ class WordBPE:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         char = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        code = {c: b for b, c in char.items()}
+        self.near = beside(bytes(code[c] for c in t.removesuffix(suffix)) for t in vocab if all(c in code for c in t.removesuffix(suffix)))
         self.inner = np.array([vocab[char[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[char[b] + suffix] for b in range(256)], np.int32)
         self._split = pre_tokenizers.Split(Regex(self._PATTERN), "removed", invert=True)
@@ -106,7 +108,7 @@ class WordBPE:
             symbols = self.inner[raw]
             ends = np.cumsum(sizes) - 1
             symbols[ends] = self.last[raw[ends]]
-            ids, kept = merge(symbols, sizes, self.pairs)
+            ids, kept = merge_apart(raw, symbols, sizes, self.pairs, self.near)
             packed, at = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(kept)).tolist()]
             self.pieces.update(zip(unseen, map(packed.__getitem__, map(slice, at, at[1:])), strict=False))
         known = self.pieces
