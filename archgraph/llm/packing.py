@@ -2,8 +2,8 @@
 
 Documents are tokenised once; only pieces' lengths matter for packing, and there are at most
 CAPACITY different ones. So the driver packs a histogram (bounded, whatever the corpus): it
-completes a bin around the largest piece left. The incumbent is the best-fit-decreasing solution
-or the best of a few greedy dives. While it is above the lower bound, branch and bound goes
+completes a bin around the largest piece left. The incumbent is the best-fit-decreasing solution,
+that which fills bin by bin, or the best of a few greedy dives. While it is above the lower bound, branch and bound goes
 through all undominated fillings of every bin and backtracks at each, dropping a branch as soon
 as its waste exceeds what could still beat the incumbent. It ends with a solution that meets the
 bound, with the proof that there is none better, or, with a warning, after SEARCH_NODES.
@@ -12,8 +12,10 @@ The plan says, for each length, which ranks of pieces go to which bins. A piece'
 those of its length is its rank within the task that tokenised it plus the counts of the tasks
 before, so no piece is ever gathered or sorted by length.
 
-Nulls and edges: a null or empty text is a piece of the end token alone. Rows that repeat a
-doc_id are packed each for itself. An empty table gives no sequence.
+Nulls and edges: a null or empty text is a piece of the end token alone. Rows that repeat a doc_id,
+or have none, are packed each for itself. Texts longer than a sequence are cut, and no other.
+Ties: pieces of one length are alike, and go to bins by rank. An empty table gives no sequence.
+Other columns, of whatever names, are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import re
 import unicodedata
 import warnings
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -174,7 +176,42 @@ class Filling:
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
-    """Best-fit decreasing on the histogram: around the largest piece, always the largest that still fits."""
+    """Best-fit decreasing on the histogram: each piece goes to the fullest bin that has room for it.
+
+    Bins of one content are one entry. A bin that takes a piece of a length is then the fullest that
+    takes it, so it takes as many as fit before the next bin does.
+    """
+    rooms: list[int] = []  # ascending, of all bins that are open
+    open_: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
+
+    def put(bins: int, room: int, items: tuple[tuple[int, int], ...]) -> None:
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((bins, items))
+
+    for size in sorted((s for s, n in counts.items() if n), reverse=True):
+        n = counts[size]
+        while n:
+            at = bisect_left(rooms, size)
+            if at < len(rooms):
+                room = rooms[at]
+                bins, items = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, bins, items = capacity, n, ()
+            each = min(room // size, n)
+            used = min(bins, n // each)
+            put(used, room - each * size, (*items, (size, each)))
+            if items and bins > used:
+                put(bins - used, room, items)
+            n -= used * each
+    return [Filling(bins, items) for room in rooms for bins, items in open_[room]]
+
+
+def largest_first(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
+    """Bin by bin, around the largest piece, always the largest that still fits."""
     left = {k: v for k, v in counts.items() if v}
     order = sorted(left, reverse=True)
     plan = []
@@ -361,7 +398,7 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     """Bins for a histogram of lengths: bin completion with branch and bound."""
     total = sum(k * v for k, v in counts.items())
     bound = least_bins(counts, capacity)
-    best = best_fit(counts, capacity)
+    best = min((best_fit(counts, capacity), largest_first(counts, capacity)), key=lambda plan: sum(f.bins for f in plan))
     most = sum(f.bins for f in best)
     branches = 0
 

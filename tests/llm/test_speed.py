@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,3 +50,37 @@ def test_texts_without_spaces_take_about_as_long_as_others(chars):
     begin = time.perf_counter()
     assert sum(len(ids) for _, ids in model.encode_both(column)) > 0
     assert 60 * 6000 / (time.perf_counter() - begin) > 250_000  # bytes a second, on a slow machine too
+
+
+def _by_piece(sizes, capacity):
+    """Best-fit decreasing, a piece at a time."""
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - s)
+        else:
+            rooms.append(capacity - s)
+    return sorted(rooms)
+
+
+def test_best_fit_on_the_histogram_is_that_by_piece():
+    rng = random.Random(12)
+    for _ in range(300):
+        sizes = [rng.choice((rng.randrange(1, 31), 7, 11)) for _ in range(rng.randrange(1, 60))]
+        plan = packing.best_fit(dict(Counter(sizes)), 30)
+        used = Counter()
+        for f in plan:
+            for s, k in f.items:
+                used[s] += k * f.bins
+        assert used == Counter(sizes)
+        assert sorted(30 - sum(s * k for s, k in f.items) for f in plan for _ in range(f.bins)) == _by_piece(sizes, 30)
+
+
+def test_ties_and_clashing_columns_in_packing(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "x"), (1, "a b", 9, "x"), (None, "c d", 9, "x"), (2, None, 9, "x"), (3, "e", 9, "x")], "doc_id long, text string, length int, task string")
+    rows = packing.pack(docs, WORDS).collect()
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"]) for r in rows), key=str) == sorted([(1, 0, 0, 3), (1, 0, 0, 3), (None, 0, 0, 3), (2, 0, 0, 1), (3, 0, 0, 2)], key=str)
+    assert len({r["sequence_id"] for r in rows}) == 1
+    assert sorted((r["offset"], r["length"]) for r in rows) == [(0, 3), (3, 3), (6, 3), (9, 2), (11, 1)]
