@@ -57,5 +57,6 @@ def snippet(doc: Column) -> Column:
 
 
 def key_values(text: Column) -> Column:
-    """KEY=VALUE pairs, separated by commas, as a map."""
-    return F.str_to_map(text, F.lit(","), F.lit("="))
+    """KEY=VALUE pairs, one a comma, as a map. A value may hold = and, where no KEY= follows, commas."""
+    parts = F.filter(F.split(text, r",(?=\s*[\w.-]+=)"), lambda x: x.contains("="))
+    return F.map_from_entries(F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)), x.substr(F.length(F.substring_index(x, "=", 1)) + 2, F.length(x)))))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,13 @@ class Arrays:
 
     def __init__(self, links: DataFrame):
         table = links.select("source", "target").toArrow()
-        both = pa.chunked_array([*table.column("source").chunks, *table.column("target").chunks], pa.string())
-        self.names, code = np.unique(np.array(both.to_pylist(), object), return_inverse=True) if len(both) else (np.zeros(0, object), np.zeros(0, np.int64))
+        both = pa.chunked_array([*table.column("source").chunks, *table.column("target").chunks], pa.string()).combine_chunks().dictionary_encode()
+        # Arrow strings and integers all the way; only the distinct names become Python strings.
+        order = pa.compute.sort_indices(both.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.names = np.array(both.dictionary.take(pa.array(order)).to_pylist(), object) if len(order) else np.zeros(0, object)
+        code = place[both.indices.to_numpy(zero_copy_only=False)] if len(both) else np.zeros(0, np.int64)
         m = table.num_rows
         self.a, self.b, self.n = code[:m], code[m:], len(self.names)
 
@@ -43,7 +49,7 @@ class Arrays:
         return spark.createDataFrame(pa.table([pa.array(self.names.tolist(), pa.string()), *(pa.array(c) for c in columns)], names=names)) if self.n else spark.createDataFrame([], schema)
 
 
-def _small(links: DataFrame) -> bool:
+def small(links: DataFrame) -> bool:
     return links.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES
 
 
@@ -53,7 +59,7 @@ def _vertices(links: DataFrame) -> DataFrame:
 
 def _either(links: DataFrame, kernel: Callable[[Arrays], DataFrame], steps: Callable[[DataFrame], DataFrame], distributed: bool) -> DataFrame:
     links = cut(links, "links")
-    return steps(links) if distributed or not _small(links) else kernel(Arrays(links))
+    return steps(links) if distributed or not small(links) else kernel(Arrays(links))
 
 
 # Strong components
@@ -282,7 +288,7 @@ def bridges(g: Graph) -> DataFrame:
     """
     links = cut(g.links().where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct(), "pairs")
     found = None
-    while not _small(links):
+    while not small(links):
         ends = links.select(F.col("source").alias("name")).union(links.select("target"))
         leaves = ends.groupBy("name").count().where("count = 1").select("name")
         peeled = cut(links.join(leaves.withColumnRenamed("name", "source"), "source", "left_semi").union(links.join(leaves.withColumnRenamed("name", "target"), "target", "left_semi")).distinct(), "peeled")
@@ -305,11 +311,9 @@ def betweenness(g: Graph, include: bool | None = None) -> DataFrame:
     schema = "name string, betweenness double"
     arm(g.spark)
     links = cut(g.links(), "links")
-    if include is False or not _small(links):
-        return g.spark.createDataFrame([], schema)
-    x = Arrays(links)
-    if include is None and x.n > BETWEENNESS_NODES:
+    if include is False or (include is None and _vertices(links).limit(BETWEENNESS_NODES + 1).count() > BETWEENNESS_NODES):
         return g.spark.createDataFrame([], schema)
+    x = Arrays(links)  # of so few nodes, or of any graph that was asked for: the adjacency has to fit into a task's memory
     if x.n < 3:
         return x.frame(g.spark, schema, np.zeros(x.n))
     at, to = kernels.csr(x.n, *x.undirected())
@@ -331,3 +335,9 @@ def betweenness(g: Graph, include: bool | None = None) -> DataFrame:
     scale = (n / BETWEENNESS_SAMPLE if sample else 1.0) / ((n - 1) * (n - 2))
     names = x.frame(g.spark, "name string, id long", np.arange(n))
     return names.join(parts, "id", "left").select("name", F.coalesce(F.col("total") * scale, F.lit(0.0)).alias("betweenness"))
+
+
+def innermost(g: Graph) -> DataFrame:
+    """(name, core) of the innermost core's members."""
+    cores = cut(kcore(g), "cores")
+    return cores.join(cores.agg(F.max("core").alias("core")), "core").select("name", "core")

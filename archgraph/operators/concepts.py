@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.model import Graph, under
+from archgraph.store import cut
 
 
 @dataclass(frozen=True)
@@ -42,16 +43,16 @@ def members(g: Graph, concepts: list[Concept]) -> DataFrame:
         owned = mine if owned is None else owned.union(mine)
     if owned is None:
         return g.spark.createDataFrame([], "name string, concept string")
-    owned = owned.distinct()
+    owned = cut(owned.distinct(), "members")
     twice = owned.groupBy("name").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{twice[0][0]} belongs to several concepts")
     return owned
 
 
-def _touching(g: Graph, concepts: list[Concept]) -> DataFrame:
+def _touching(g: Graph, concepts: list[Concept], own: DataFrame | None = None) -> DataFrame:
     """All edges but containment with the concepts of both ends, where at least one has one."""
-    own = members(g, concepts)
+    own = members(g, concepts) if own is None else own
     edges = g.edges.where("rel <> 'contains'").select("source", "rel", "target")
     met = edges.join(own.select(F.col("name").alias("source"), F.col("concept").alias("a")), "source", "left").join(own.select(F.col("name").alias("target"), F.col("concept").alias("b")), "target", "left")
     return met.where("a is not null or b is not null")
@@ -66,7 +67,8 @@ def crossings(g: Graph, concepts: list[Concept]) -> DataFrame:
 def summary(g: Graph, concepts: list[Concept]) -> DataFrame:
     """Per concept: members, internal, cross_in, cross_out, sync_fan_out, sync_density, sync_asymmetry."""
     names = g.spark.createDataFrame([(c.name,) for c in concepts], "concept string")
-    met = _touching(g, concepts)
+    own = members(g, concepts)
+    met = cut(_touching(g, concepts, own), "touching")
     sides = met.select(F.col("a").alias("concept"), F.when(F.col("a") == F.col("b"), "internal").when(F.col("b").isNotNull(), "out").alias("kind"), F.col("b").alias("other"))
     sides = sides.union(met.where("a is null or a <> b").select("b", F.when(F.col("a").isNotNull(), "in"), "a")).where("concept is not null and kind is not null")
     n = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
@@ -75,7 +77,7 @@ def summary(g: Graph, concepts: list[Concept]) -> DataFrame:
     ways = pairs.select(F.col("a").alias("concept"), F.col("b").alias("other"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(pairs.select("b", "a", F.lit(0), F.lit(1)))
     partner = ways.groupBy("concept", "other").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
     shape = partner.groupBy("concept").agg(F.sum((F.col("o") + F.col("i") == 1).cast("long")).alias("uni"), F.sum((F.col("o") + F.col("i") == 2).cast("long")).alias("bi"))
-    size = members(g, concepts).groupBy("concept").agg(F.count(F.lit(1)).alias("members"))
+    size = own.groupBy("concept").agg(F.count(F.lit(1)).alias("members"))
     out = names.join(size, "concept", "left").join(counts, "concept", "left").join(shape, "concept", "left").na.fill(0)
     crossing = F.col("cross_in") + F.col("cross_out")
     touched = F.col("internal") + crossing
@@ -96,3 +98,15 @@ def witnesses(g: Graph, concepts: list[Concept], most: int = 5) -> DataFrame:
     """The first `most` unsanctioned edges of each pair, a report."""
     bad = crossings(g, concepts).where("not allowed")
     return bad.selectExpr("*", "row_number() over (partition by from_concept, to_concept order by source, rel, target) as nth").where(F.col("nth") <= most).drop("allowed")
+
+
+def candidates(g: Graph, concepts: list[Concept]) -> DataFrame:
+    """(from_concept, to_concept, sync_point, edges): for each pair, by which inner ends its unsanctioned edges could be allowed."""
+    bad = crossings(g, concepts).where("not allowed")
+    ends = bad.select("from_concept", "to_concept", F.col("source").alias("sync_point")).union(bad.select("from_concept", "to_concept", "target"))
+    return ends.groupBy("from_concept", "to_concept", "sync_point").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def allowed_syncs(g: Graph, concepts: list[Concept]) -> DataFrame:
+    """(from_concept, to_concept, source, rel, target): the crossing edges that a sync point allows."""
+    return crossings(g, concepts).where("allowed").select("from_concept", "to_concept", "source", "rel", "target")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archgraph.functions.scalars import jaccard
 from archgraph.model import Graph
 
 COMPARED = ("type", "file", "line", "docstring", "content_hash", "structure_hash")
@@ -67,14 +68,35 @@ def renames(old: Graph, new: Graph) -> DataFrame:
         gone, came = gone.join(found.select("a"), "a", "left_anti"), came.join(found.select("b"), "b", "left_anti")
     words = lambda df, c: df.select(c, "type", F.array_distinct(F.filter(F.split(c, r"[._\s]+"), lambda x: x != "")).alias("w" + c))
     wa, wb = words(gone, "a"), words(came, "b")
-    both = wa.select("a", "type", F.size("wa").alias("na"), F.explode("wa").alias("w")).join(wb.select("b", "type", F.size("wb").alias("nb"), F.explode("wb").alias("w")), ["type", "w"])
-    met = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common")).where(F.least("na", "nb") >= SIZE_RATIO * F.greatest("na", "nb"))
-    score = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    fuzzy = _greedy(met.withColumn("score", score).where(F.col("score") >= JACCARD).select("a", "b", "score"))
+    # Names similar enough share one of their rarest words: of n, the n - ceil(0.8 n) + 1 rarest. A root word that all have pairs nothing.
+    each = wa.select("type", F.explode("wa").alias("w")).union(wb.select("type", F.explode("wb")))
+    often = each.groupBy("type", "w").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame, c: str) -> DataFrame:
+        rare = df.select(c, "type", F.size("w" + c).alias("n"), F.explode("w" + c).alias("w")).join(often, ["type", "w"])
+        ranked = rare.groupBy(c, "type", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("t"))  # a name's own words
+        return ranked.select(c, "type", F.explode(F.slice("t", F.lit(1), (F.col("n") - F.ceil(F.lit(JACCARD) * F.col("n") - 1e-9) + 1).cast("int"))).alias("t")).select(c, "type", "t.w")
+
+    pairs = prefix(wa, "a").join(prefix(wb, "b"), ["type", "w"]).select("a", "b").distinct()
+    met = pairs.join(wa.select("a", "wa"), "a").join(wb.select("b", "wb"), "b")
+    na, nb = F.size("wa"), F.size("wb")
+    met = met.where(F.least(na, nb) >= SIZE_RATIO * F.greatest(na, nb)).withColumn("score", jaccard(F.col("wa"), F.col("wb")))
+    fuzzy = _greedy(met.where(F.col("score") >= JACCARD).select("a", "b", "score"))
     out = out.union(fuzzy.select("a", "b", F.lit("fuzzy")))
     return out.select(F.col("a").alias("old_name"), F.col("b").alias("new_name"), "kind")
 
 
+def diff(old: Graph, new: Graph) -> DataFrame:
+    """`diff_nodes` where a renamed node is one row (change renamed, field name, before, after), and neither added nor removed."""
+    from archgraph.store import cut
+
+    found = cut(renames(old, new), "renames")
+    rows = diff_nodes(old, new)
+    rows = rows.join(found.select(F.col("old_name").alias("name"), F.lit("removed").alias("change")), ["name", "change"], "left_anti")
+    rows = rows.join(found.select(F.col("new_name").alias("name"), F.lit("added").alias("change")), ["name", "change"], "left_anti")
+    return rows.select("name", "change", "field", "before", "after").union(found.select("new_name", F.lit("renamed"), F.lit("name"), "old_name", "new_name"))
+
+
 # Churn
 
 _FILE = re.compile(r"^\+\+\+ b/(.*)$")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archgraph.model import COUPLING, Graph
-from archgraph.operators.analytics import components, weak_components
+from archgraph.operators import kernels
+from archgraph.operators.analytics import Arrays, components, small, weak_components
 from archgraph.operators.select import is_entry_point
 from archgraph.operators.traverse import ancestry
 from archgraph.store import cut
@@ -47,13 +48,20 @@ def noc(g: Graph) -> DataFrame:
     return _classes(g).join(kids, "class", "left").na.fill(0)
 
 
-def dit(g: Graph) -> DataFrame:
+def dit(g: Graph, distributed: bool = False) -> DataFrame:
     """(class, dit): longest inherits chain upward. Edges on an inheritance cycle don't count.
 
-    Roots are peeled level by level, so each level costs a join of what is left. A class on or
-    below a cycle counts the chains that don't enter it.
+    A kernel does it up to its size. Beyond, roots are peeled level by level, so each level costs a
+    join of what is left. A class on or below a cycle counts the chains that don't enter it.
     """
     up = cut(g.edges.where("rel = 'inherits' and source <> target").select("source", "target").distinct(), "inherits")
+    if not distributed and small(up):
+        x = Arrays(up)
+        part = kernels.strong_components(x.n, x.a, x.b)
+        apart = part[x.a] != part[x.b]  # without the edges inside strong components there is no cycle
+        a, b = x.a[apart], x.b[apart]
+        deep = kernels.layers(x.n, a, b, kernels.strong_components(x.n, a, b))
+        return _classes(g).join(x.frame(g.spark, "class string, dit long", deep), "class", "left").na.fill(0)
     vertices = cut(up.select(F.col("source").alias("name")).union(up.select("target")).distinct(), "vertices")
     left, links, done, level = cut(vertices, "left"), up, None, 0
     while not left.isEmpty():
@@ -118,11 +126,14 @@ def _owners(g: Graph, tree: DataFrame) -> DataFrame:
     return tree.join(modules, "ancestor").groupBy("name").agg(F.max("ancestor").alias("owner"))
 
 
-def martin(g: Graph) -> DataFrame:
-    """(module, ca, ce, instability, abstractness, distance) over all that a module or package contains."""
-    tree = cut(ancestry(g), "ancestry")
+def martin(g: Graph, tree: DataFrame | None = None, owner: DataFrame | None = None) -> DataFrame:
+    """(module, ca, ce, instability, abstractness, distance) over all that a module or package contains.
+
+    tree, owner: the ancestry and the owners, where they are known already.
+    """
+    tree = cut(ancestry(g), "ancestry") if tree is None else tree
     modules = g.nodes.where("type in ('package', 'module')").select(F.col("name").alias("module"))
-    owner = cut(_owners(g, tree), "owners")
+    owner = cut(_owners(g, tree), "owners") if owner is None else owner
     inside = cut(tree.join(modules, F.col("ancestor") == F.col("module")).select("module", "name"), "inside")  # the module itself too
     links = g.links()
 
@@ -139,8 +150,9 @@ def martin(g: Graph) -> DataFrame:
 
 def sdp_violations(g: Graph) -> DataFrame:
     """(source, target, gap): modules that depend on others by over 0.1 less stable than they are."""
-    owner = cut(_owners(g, ancestry(g)), "owners")
-    metrics = cut(martin(g).select("module", "instability"), "martin")
+    tree = cut(ancestry(g), "ancestry")
+    owner = cut(_owners(g, tree), "owners")
+    metrics = cut(martin(g, tree, owner).select("module", "instability"), "martin")
     links = g.links().join(owner.select(F.col("name").alias("source"), F.col("owner").alias("a")), "source").join(owner.select(F.col("name").alias("target"), F.col("owner").alias("b")), "target")
     pairs = links.where("a <> b").select("a", "b").distinct()
     met = pairs.join(metrics.select(F.col("module").alias("a"), F.col("instability").alias("ia")), "a").join(metrics.select(F.col("module").alias("b"), F.col("instability").alias("ib")), "b")

@@ -144,12 +144,30 @@ TYPED_METRICS: dict[str, tuple[tuple[str, ...], Metric]] = {
 }
 
 
-def check_quantified(g: Graph, selector: str, assertion: str, scope: str | None = None) -> DataFrame:
-    """Subjects that break the assertion: name and the metrics that it names. Facts come from the whole graph."""
+def parse_quantified(assertion: str) -> tuple[ast.expr, set[str]]:
+    """The tree and its identifiers, all of them known."""
     tree, names = parse_assertion(assertion)
     unknown = names - ATTRIBUTES - set(NODE_METRICS) - set(TYPED_METRICS)
     if unknown:
         raise RuleError(f"unknown in assertion: {', '.join(sorted(unknown))}")
+    return tree, names
+
+
+def validate_rule(rule: Rule) -> None:
+    """Raises where a rule can't be evaluated, whatever the graph."""
+    if rule.type == "quantified":
+        parse_quantified(rule.assertion or "")
+    elif rule.type == "deny":
+        parse_deny(rule.pattern or "")
+    elif rule.type != "invariant":
+        raise RuleError(f"unknown type of rule: {rule.type!r}")
+    elif rule.invariant not in INVARIANTS:
+        raise RuleError(f"unknown invariant: {rule.invariant!r}")
+
+
+def check_quantified(g: Graph, selector: str, assertion: str, scope: str | None = None) -> DataFrame:
+    """Subjects that break the assertion: name and the metrics that it names. Facts come from the whole graph."""
+    tree, names = parse_quantified(assertion)
     subjects = g.nodes.where(glob(F.col("name"), selector))
     if scope:
         subjects = subjects.where(under(F.col("name"), scope))
@@ -198,12 +216,23 @@ def check(g: Graph, rule: Rule, groups: list[concepts.Concept] | None = None) ->
 
 
 def check_all(g: Graph, rules: list[Rule], groups: list[concepts.Concept] | None = None) -> DataFrame:
-    for rule in rules:  # all are parsed before any is run
-        if rule.type == "quantified":
-            parse_assertion(rule.assertion or "")
-        elif rule.type == "deny":
-            parse_deny(rule.pattern or "")
+    for rule in rules:  # before any is run
+        validate_rule(rule)
     out = g.spark.createDataFrame([], "rule string, kind string, witness string")
     for rule in rules:
         out = out.union(check(g, rule, groups))
     return out
+
+
+def violations(g: Graph, rules: list[Rule], groups: list[concepts.Concept] | None = None) -> DataFrame:
+    """One row per violated rule: rule, type, message, witnesses, and edges, nodes and cycles among them; those that it has none of are null."""
+    kinds = {r.name: r.type for r in rules}
+    found = check_all(g, rules, groups)
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("witness"))))
+    some = lambda kind: F.when(F.size(of(kind)) > 0, of(kind))
+    names = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)) if kinds else F.expr("map()").cast("map<string,string>")
+    rows = found.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("kind", "witness"))).alias("witnesses"), some("edge").alias("edges"),
+        F.coalesce(some("node"), some("predicate")).alias("nodes"), some("cycle").alias("cycles"),
+    )
+    return rows.select("rule", F.element_at(names, F.col("rule")).alias("type"), F.format_string("%s is violated by %d", "rule", "n").alias("message"), "witnesses", "edges", "nodes", "cycles")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.functions.scalars import split_identifier
+from archgraph.functions.scalars import location, snippet, split_identifier
 from archgraph.model import Graph
 
 K1, B = 1.2, 0.75
@@ -18,6 +18,10 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def _text() -> Column:
+    return F.concat_ws(" ", "name", split_identifier(F.col("name")), "docstring")
+
+
 @dataclass(frozen=True)
 class Index:
     """postings(term, name, tf), documents(name, length), and the corpus figures come from these."""
@@ -28,20 +32,17 @@ class Index:
 
 def build_index(g: Graph) -> Index:
     """Terms of the full name, the split name and the docstring of each node. Counts combine before the shuffle."""
-    text = F.concat_ws(" ", "name", split_identifier(F.col("name")), "docstring")
-    terms = g.nodes.select("name", _tokens(text).alias("t"))
+    terms = g.nodes.select("name", _tokens(_text()).alias("t"))
     postings = terms.select("name", F.explode("t").alias("term")).groupBy("term", "name").agg(F.count(F.lit(1)).alias("tf"))
     return Index(postings, terms.select("name", F.size("t").cast("long").alias("length")))
 
 
 def parse_query(query: str) -> list[tuple[str, bool, bool]]:
-    """(term, prefix?, excluded?) of an implicit conjunction; AND is noise, NOT excludes, word* is a prefix."""
+    """(term, prefix?, excluded?) of an implicit conjunction; AND is noise, NOT excludes, word* is a prefix; quotes and NEAR are for `phrases`."""
     out, excluded = [], False
     for word in re.findall(r"[^\s\"()]+", query):
         if word in ("AND", "NEAR"):
             continue
-        if word == "OR":
-            raise ValueError("OR is searched by the union of two queries")
         if word == "NOT":
             excluded = True
             continue
@@ -53,9 +54,66 @@ def parse_query(query: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def phrases(query: str) -> list[list[str]]:
+    """The quoted phrases, as terms that follow each other."""
+    return [p for p in ([x for x in re.split(r"[^\w]+|_+", q.lower()) if x] for q in re.findall(r'"([^"]*)"', query)) if len(p) > 1]
+
+
+def alternatives(query: str) -> list[str]:
+    """The parts of a query at OR outside quotes."""
+    parts, at, inside = [], 0, False
+    for m in re.finditer(r'"|\bOR\b', query):
+        if m[0] == '"':
+            inside = not inside
+        elif not inside:
+            parts.append(query[at : m.start()])
+            at = m.end()
+    parts = [p.strip() for p in [*parts, query[at:]]]
+    if not all(parts) and len(parts) > 1:
+        raise ValueError(f"OR needs two sides: {query!r}")
+    return parts
+
+
 def search(index: Index, g: Graph, query: str, kind: str | None = None, limit: int | None = 10) -> DataFrame:
-    """(name, type, score) with every term, best first: a ranked report of `limit` (None: all)."""
-    terms = parse_query(query)
+    """(name, type, score) of one alternative's every term, best first: a ranked report of `limit` (None: all).
+
+    Alternatives are joined by OR; a node that several match adds their scores up. A quoted phrase's
+    terms must follow each other in the node's text.
+    """
+    parts = alternatives(query)
+    found = None
+    for part in parts:
+        hits = _conjunction(index, g, part, kind)
+        found = hits if found is None else found.unionByName(hits)
+    if len(parts) > 1:
+        found = found.groupBy("name", "type").agg(F.sum("score").alias("score"))
+    out = found.select("name", "type", F.bround("score", 6).alias("score"))
+    return out.orderBy(F.desc("score"), "name").limit(limit) if limit else out
+
+
+def results(index: Index, g: Graph, query: str, kind: str | None = None, limit: int = 10) -> tuple[DataFrame, int]:
+    """The first `limit` hits with rank, location and snippet, and how many there are in all."""
+    every = search(index, g, query, kind, None)
+    total = every.count()
+    first = every.orderBy(F.desc("score"), "name").limit(limit)
+    ranked = first.selectExpr("*", "row_number() over (order by score desc, name) as rank")
+    cards = g.nodes.select("name", location(F.col("file"), F.col("line")).alias("location"), snippet(F.coalesce("docstring", F.lit(""))).alias("snippet"))
+    return ranked.join(cards, "name", "left").select("rank", "name", "type", "score", "location", "snippet").orderBy("rank"), total
+
+
+def store_index(index: Index, path: str) -> None:
+    """The index as Parquet, postings sorted by term so that a query's row groups are few."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "name").write.mode("overwrite").parquet(f"{path}/postings")
+    index.documents.write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
+
+
+def _conjunction(index: Index, g: Graph, query: str, kind: str | None) -> DataFrame:
+    """(name, type, score), not rounded, of all nodes with every term and phrase and no excluded term."""
+    terms = parse_query(query.replace('"', " "))
     wanted = [(t, p) for t, p, no in dict.fromkeys(terms) if not no]
     banned = [(t, p) for t, p, no in dict.fromkeys(terms) if no]
     test = lambda t, p: F.col("term").startswith(t) if p else F.col("term") == t
@@ -74,8 +132,9 @@ def search(index: Index, g: Graph, query: str, kind: str | None = None, limit: i
     hits = joined.groupBy("name").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms")).where(F.col("terms") == len(wanted))
     for t, p in banned:
         hits = hits.join(index.postings.where(test(t, p)).select("name"), "name", "left_anti")
-    out = hits.join(g.nodes.select("name", "type"), "name")
+    out = hits.join(g.nodes.select("name", "type", "docstring"), "name")
     if kind:
         out = out.where(F.col("type") == kind)
-    out = out.select("name", "type", F.bround("score", 6).alias("score"))
-    return out.orderBy(F.desc("score"), "name").limit(limit) if limit else out
+    for phrase in phrases(query):
+        out = out.where(F.array_join(_tokens(_text()), " ", "").rlike(rf"(?:^| ){' '.join(phrase)}(?: |$)"))
+    return out.select("name", "type", "score")

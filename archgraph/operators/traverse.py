@@ -78,16 +78,32 @@ def shortest_path(g: Graph, source: str, target: str) -> DataFrame:
         return spark.createDataFrame([], "step int, name string")
     if source == target:
         return spark.createDataFrame([(0, source)], "step int, name string")
+    # Both ends search, that with the smaller frontier first.
     hops = cut(_hops(g.edges, "both"), "hops")
-    found = levels(g.edges, spark.createDataFrame([(source,)], "name string"), "both", until=target)
-    at = found.where(F.col("name") == target).select("depth").collect()
-    if not at:
-        return spark.createDataFrame([], "step int, name string")
-    path, depth = [target], at[0][0]
-    while depth:  # as many steps as the path is long
-        depth -= 1
+    sides = [{"seen": (f := cut(spark.createDataFrame([(n,)], "name string"), "level")), "levels": [f], "size": 1} for n in (source, target)]
+    while True:
+        here, other = sorted((0, 1), key=lambda k: sides[k]["size"])
+        side = sides[here]
+        met = hops.join(side["levels"][-1].select(F.col("name").alias("here")), "here").select(F.col("there").alias("name")).distinct()
+        new = cut(met.join(side["seen"], "name", "left_anti"), "level")
+        side["size"] = new.count()
+        if not side["size"]:
+            return spark.createDataFrame([], "step int, name string")
+        side["levels"].append(new)
+        side["seen"] = side["seen"].union(new)
+        if not new.join(sides[other]["levels"][-1], "name", "left_semi").isEmpty():
+            break
+    # The definition goes back from the target by least names among nodes at the right distance of the
+    # source, so what the target's side has found is walked first, kept to nodes that lie on shortest paths.
+    ahead, behind = (s["levels"] for s in sides)
+    kept = [cut(ahead[-1].join(behind[-1], "name", "left_semi"), "meeting")]  # from the meeting towards the target
+    for level in reversed(behind[:-1]):
+        step = hops.join(kept[-1].select(F.col("name").alias("here")), "here").select(F.col("there").alias("name")).distinct()
+        kept.append(cut(level.join(step, "name", "left_semi"), "on-path"))
+    path = [target]
+    for level in [*reversed(kept[:-1]), *reversed(ahead[:-1])]:
         back = hops.where(F.col("there") == path[-1]).select(F.col("here").alias("name"))
-        path.append(back.join(found.where(F.col("depth") == depth), "name").agg(F.min("name")).collect()[0][0])
+        path.append(back.join(level, "name", "left_semi").agg(F.min("name")).collect()[0][0])
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, name string")
 
 

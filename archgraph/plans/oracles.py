@@ -73,6 +73,11 @@ _HUNKS = """
   FROM events WHERE value IS NOT NULL AND value >= 0
 ), churn AS (SELECT name, count(DISTINCT commit) AS touches FROM nodes n JOIN hunks h ON h.file = n.file AND n.line <= h.end_line AND h.start_line <= coalesce(n.end_line, n.line) WHERE n.line IS NOT NULL GROUP BY name
 )"""
+_DEAD = f"""
+, used AS MATERIALIZED (SELECT DISTINCT target FROM edges WHERE rel IN {_C} OR rel = 'decorates'
+), suspects AS MATERIALIZED (SELECT name, type FROM nodes ANTI JOIN used ON target = name WHERE type NOT IN ('package', 'module', 'endpoint', 'config') AND split_part(name, '.', -1) <> 'main'
+), dead AS (SELECT s.name, s.type FROM suspects s LEFT JOIN contains c ON c.child = s.name LEFT JOIN suspects p ON p.name = c.parent WHERE c.parent IS NULL OR p.name IS NOT NULL
+)"""
 _N0 = "(SELECT name FROM nodes WHERE name LIKE '%.n0')"
 
 
@@ -90,6 +95,53 @@ def _closure(start: str, rels: str, forward: bool, depth: int | None = None, col
     )
 
 
+_CATALOGUE = ("SELECT * REPLACE (CASE WHEN type = 'module' AND name LIKE 'cat.%' THEN 'class' WHEN type = 'function' THEN 'method' ELSE type END AS type) FROM base_nodes", "SELECT * FROM base_edges")
+_LAYERED = ("SELECT * FROM base_nodes", "SELECT * FROM base_edges WHERE rel = 'contains' OR (rel = 'imports' AND (source > target OR source LIKE 'r0.%'))")
+# Connected parts of the calls among the methods of one class, by what each reaches.
+_PARTS = """
+, inside AS (SELECT e.source AS a, e.target AS b FROM edges e JOIN methods m ON m.member = e.source JOIN methods n ON n.member = e.target AND n.class = m.class WHERE rel = 'calls' AND e.source <> e.target
+), both_ AS (SELECT a, b FROM inside UNION SELECT b, a FROM inside
+), tied(a, b) AS (SELECT a, b FROM both_ UNION SELECT tied.a, y.b FROM tied JOIN both_ y ON y.a = tied.b
+), least_ AS (SELECT a, min(b) AS b FROM tied GROUP BY a
+), lcom4 AS (SELECT class, count(DISTINCT coalesce(least(l.a, l.b), member)) AS lcom4 FROM classes LEFT JOIN methods USING (class) LEFT JOIN least_ l ON l.a = member GROUP BY class
+)"""
+_PAGERANK = """
+, v AS (SELECT source AS name FROM links UNION SELECT target FROM links
+), size AS (SELECT count(*) AS n FROM v
+), deg AS (SELECT source, count(*) AS d FROM links GROUP BY source
+), pr(it, name, r) AS (
+  SELECT 0, name, 1.0::double / n FROM v, size
+  UNION ALL
+  SELECT max(x.it) + 1, x.name, 0.15::double / max(n) + 0.85::double * (coalesce(sum(x.got), 0) + max(x.lost) / max(n)) FROM (
+    SELECT w.it, v.name, g.got, w.lost FROM v
+    CROSS JOIN (SELECT max(it) AS it, coalesce(sum(r) FILTER (d IS NULL), 0) AS lost FROM pr LEFT JOIN deg ON source = pr.name) w
+    LEFT JOIN (SELECT target, sum(pr.r / d) AS got FROM pr JOIN deg ON deg.source = pr.name JOIN links ON links.source = pr.name GROUP BY target) g ON g.target = v.name
+    WHERE w.it < 50) x, size GROUP BY x.name
+)"""
+_KCORE = """
+, both_ AS MATERIALIZED (SELECT source AS a, target AS b FROM links UNION SELECT target, source FROM links
+), kc(it, name, core) AS (
+  SELECT 0, a, count(*) FROM both_ GROUP BY a
+  UNION ALL
+  SELECT it + 1, name, least(max(own), coalesce(max(least(core, above)), 0)) FROM (
+    SELECT s.it, s.name, s.core AS own, t.core, count(*) OVER (PARTITION BY s.name ORDER BY t.core DESC) AS above FROM kc s JOIN both_ ON a = s.name JOIN kc t ON t.name = b WHERE s.it < 30
+  ) GROUP BY it, name
+), cores AS (SELECT name, core FROM kc WHERE it = 30
+)"""
+_MOVED = """
+, old_ AS MATERIALIZED (SELECT name, type, CASE WHEN type = 'function' THEN md5(docstring || '|' || cc) END AS c, CASE WHEN type = 'function' THEN md5(split_part(name, '.', -1)) END AS s FROM nodes
+), new_ AS MATERIALIZED (SELECT CASE WHEN name LIKE 'cat.b%' THEN 'cat.x' || substr(name, 6) WHEN type = 'method' THEN regexp_replace(name, '[.](o[0-9]+)$', '.archive.\\1') ELSE name END AS name, type, c, s FROM old_
+), gone AS MATERIALIZED (SELECT * FROM old_ ANTI JOIN new_ USING (name)), came AS MATERIALIZED (SELECT * FROM new_ ANTI JOIN old_ USING (name)
+), by_both AS (SELECT a.name AS old_name, b.name AS new_name FROM (SELECT c, s, min(name) AS name FROM gone WHERE c IS NOT NULL AND s IS NOT NULL GROUP BY c, s HAVING count(*) = 1) a JOIN (SELECT c, s, min(name) AS name FROM came WHERE c IS NOT NULL AND s IS NOT NULL GROUP BY c, s HAVING count(*) = 1) b USING (c, s)
+), gone2 AS (SELECT * FROM gone ANTI JOIN by_both ON old_name = name), came2 AS (SELECT * FROM came ANTI JOIN by_both ON new_name = name
+), by_shape AS (SELECT a.name AS old_name, b.name AS new_name FROM (SELECT s, min(name) AS name FROM gone2 WHERE s IS NOT NULL GROUP BY s HAVING count(*) = 1) a JOIN (SELECT s, min(name) AS name FROM came2 WHERE s IS NOT NULL GROUP BY s HAVING count(*) = 1) b USING (s)
+), gone3 AS MATERIALIZED (SELECT name, type, list_distinct(string_split(name, '.')) AS w FROM gone2 ANTI JOIN by_shape ON old_name = name), came3 AS MATERIALIZED (SELECT name, type, list_distinct(string_split(name, '.')) AS w FROM came2 ANTI JOIN by_shape ON new_name = name
+), alike AS (
+  SELECT g.name AS a, c.name AS b, len(list_intersect(g.w, c.w)) / (len(g.w) + len(c.w) - len(list_intersect(g.w, c.w))) AS j FROM gone3 g JOIN came3 c ON g.type = c.type AND split_part(g.name, '.', -1) = split_part(c.name, '.', -1)
+), fuzzy AS (SELECT a, b FROM alike WHERE j >= 0.8)
+SELECT old_name, new_name, 'content' AS kind FROM by_both UNION ALL SELECT old_name, new_name, 'structure' FROM by_shape UNION ALL SELECT a, b, 'fuzzy' FROM fuzzy"""
+
+
 _Q: dict[str, str] = {
     "status": "SELECT 'node' AS kind, type AS name, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', rel, count(*) FROM edges GROUP BY rel",
     "nodes_by_type": "SELECT name, type, file FROM nodes WHERE type = 'class'",
@@ -132,22 +184,21 @@ SELECT name, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '[._]
     "find_cycles": _SCC + "SELECT scc, name FROM scc WHERE scc IN (SELECT scc FROM scc GROUP BY scc HAVING count(*) > 1)",
     "topological_layers": _SCC + "SELECT name, cast(layer as bigint) AS layer FROM layers",
     "layering_violations": _SCC + f"SELECT source, rel, target, cast(s.layer as bigint) AS source_layer, cast(t.layer as bigint) AS target_layer FROM edges JOIN layers s ON s.name = source JOIN layers t ON t.name = target WHERE rel IN {_C} AND source <> target AND s.layer <= t.layer",
-    "pagerank": """
+    "pagerank": _PAGERANK + "SELECT name, round_even(r, 9) AS pagerank FROM pr WHERE it = 50",
+    "kcore": _KCORE + "SELECT name, core FROM cores",
+    "kcore_innermost": _KCORE + "SELECT name, core FROM cores WHERE core = (SELECT max(core) FROM cores)",
+    "hits": """
 , v AS (SELECT source AS name FROM links UNION SELECT target FROM links
-), size AS (SELECT count(*) AS n FROM v
-), deg AS (SELECT source, count(*) AS d FROM links GROUP BY source
-), pr(it, name, r) AS (
-  SELECT 0, name, 1.0::double / n FROM v, size
+), hs(it, name, hub, authority) AS (
+  SELECT 0, name, 1.0::double, 1.0::double FROM v
   UNION ALL
-  SELECT max(x.it) + 1, x.name, 0.15::double / max(n) + 0.85::double * (coalesce(sum(x.got), 0) + max(x.lost) / max(n)) FROM (
-    SELECT w.it, v.name, g.got, w.lost FROM v
-    CROSS JOIN (SELECT max(it) AS it, coalesce(sum(r) FILTER (d IS NULL), 0) AS lost FROM pr LEFT JOIN deg ON source = pr.name) w
-    LEFT JOIN (SELECT target, sum(pr.r / d) AS got FROM pr JOIN deg ON deg.source = pr.name JOIN links ON links.source = pr.name GROUP BY target) g ON g.target = v.name
-    WHERE w.it < 50) x, size GROUP BY x.name
-) SELECT name, round_even(r, 9) AS pagerank FROM pr WHERE it = 50""",
-    "dead_code": f"""
-, suspects AS (SELECT name, type FROM nodes WHERE type NOT IN ('package', 'module', 'endpoint', 'config') AND name NOT IN (SELECT target FROM edges WHERE rel IN {_C} OR rel = 'decorates') AND split_part(name, '.', -1) <> 'main'
-) SELECT s.name, s.type FROM suspects s LEFT JOIN contains c ON c.child = s.name WHERE c.parent IS NULL OR c.parent IN (SELECT name FROM suspects)""",
+  SELECT it + 1, name, h / greatest(sqrt(sum(h * h) OVER ()), 1e-10), a / greatest(sqrt(sum(a * a) OVER ()), 1e-10) FROM (
+    SELECT c.it, v.name, coalesce(x.h, 0) AS h, coalesce(y.a, 0) AS a FROM v CROSS JOIN (SELECT max(it) AS it FROM hs) c
+    LEFT JOIN (SELECT l.source AS name, sum(z.a) AS h FROM links l JOIN (SELECT target AS name, sum(hub) AS a FROM hs JOIN links ON source = name GROUP BY target) z ON z.name = l.target GROUP BY l.source) x USING (name)
+    LEFT JOIN (SELECT target AS name, sum(hub) AS a FROM hs JOIN links ON source = name GROUP BY target) y USING (name) WHERE c.it < 50)
+) SELECT name, round_even(hub, 6) AS hub, round_even(authority, 6) AS authority FROM hs WHERE it = 50""",
+    "between_edges": f"SELECT source, rel, target FROM edges WHERE (source = {_N0} AND target = {_one('n1')}) OR (source = {_one('n1')} AND target = {_N0})",
+    "dead_code": _DEAD + "SELECT name, type FROM dead",
     "god_files": """
 , f AS (
   SELECT file, cast(coalesce(sum(coalesce(cc, 1)) FILTER (type IN ('function', 'method')), 0) as bigint) AS total_cc, cast(coalesce(max(coalesce(cc, 1)) FILTER (type IN ('function', 'method')), 0) as bigint) AS max_cc,
@@ -170,6 +221,7 @@ FROM all_ WHERE total_cc >= 50 OR functions >= 15""",
 ), n AS (SELECT method, class, holder, count(*) AS n FROM refs WHERE holder IS NOT NULL GROUP BY ALL
 ), best AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY n DESC, holder) AS k FROM n WHERE holder <> class)
 SELECT b.method, b.class, b.holder AS envied, coalesce(o.n, 0) AS own_refs, b.n AS external_refs FROM best b LEFT JOIN n o ON o.method = b.method AND o.holder = o.class WHERE k = 1 AND b.n >= 2 AND b.n > coalesce(o.n, 0)""",
+    "delta_filter": _HUNKS + "SELECT source AS name, count(*) AS fan_out FROM links JOIN nodes ON name = source WHERE type IN ('function', 'method') AND source IN (SELECT name FROM churn) GROUP BY source HAVING count(*) >= 3",
     "shotgun_surgery": "SELECT source AS name, count(*) AS fan_out FROM links JOIN nodes ON name = source WHERE type IN ('function', 'method') GROUP BY source HAVING count(*) >= 3",
     "deny_rule": "SELECT source, rel, target FROM edges WHERE rel = 'depends_on' AND source LIKE 'r0.%' AND target LIKE 'r1.%'",
     "quantified_rule": "SELECT name FROM nodes WHERE name LIKE 'cat.%' AND ((SELECT count(*) FROM links WHERE source = name) > 3 OR (type = 'function' AND coalesce(cc, 99) > 40))",
@@ -178,6 +230,16 @@ SELECT 'regions' AS rule, 'edge' AS kind, source || ' -[' || rel || ']-> ' || ta
 UNION ALL SELECT 'acyclic', 'edge', source || ' -[' || rel || ']-> ' || target FROM edges JOIN scc s ON s.name = source JOIN scc t ON t.name = target WHERE source LIKE 'cat.%' AND rel <> 'contains' AND source <> target AND s.scc = t.scc
 UNION ALL SELECT 'narrow', 'predicate', name FROM nodes WHERE name LIKE 'cat.%' AND ((SELECT count(*) FROM links WHERE source = name) > 3 OR (type = 'function' AND coalesce(cc, 99) > 40))
 UNION ALL SELECT 'boundaries', 'edge', source || ' -[' || rel || ']-> ' || target FROM crossing WHERE NOT allowed""",
+    "check_dead_code": _DEAD + "SELECT 'dead' AS rule, 'node' AS kind, name AS witness FROM dead",
+    "rule_violations": _SCC + _CONCEPTS + """
+, found AS (
+  SELECT 'regions' AS rule, 'deny' AS type FROM edges WHERE rel = 'depends_on' AND source LIKE 'r0.%' AND target LIKE 'r1.%'
+  UNION ALL SELECT 'acyclic', 'invariant' FROM edges JOIN scc s ON s.name = source JOIN scc t ON t.name = target WHERE source LIKE 'cat.%' AND rel <> 'contains' AND source <> target AND s.scc = t.scc
+  UNION ALL SELECT 'narrow', 'quantified' FROM nodes WHERE name LIKE 'cat.%' AND ((SELECT count(*) FROM links WHERE source = name) > 3 OR (type = 'function' AND coalesce(cc, 99) > 40))
+  UNION ALL SELECT 'boundaries', 'invariant' FROM crossing WHERE NOT allowed
+) SELECT rule, type, rule || ' is violated by ' || count(*) AS message, count(*) AS witnesses FROM found GROUP BY rule, type""",
+    "concept_candidates": _CONCEPTS + "SELECT a AS from_concept, b AS to_concept, sync_point, count(*) AS edges FROM (SELECT a, b, source AS sync_point FROM crossing WHERE NOT allowed UNION ALL SELECT a, b, target FROM crossing WHERE NOT allowed) GROUP BY ALL",
+    "concept_allowed": _CONCEPTS + "SELECT a AS from_concept, b AS to_concept, source, rel, target FROM crossing WHERE allowed",
     "concept_summary": _CONCEPTS + """
 , k AS (SELECT unnest(['customers', 'suppliers', 'catalog']) AS concept
 ), s AS (
@@ -193,6 +255,7 @@ FROM s""",
     "dsm_module": ", own AS (SELECT up.name, arg_min(ancestor, depth) AS owner FROM up JOIN nodes n ON n.name = ancestor WHERE n.type = 'module' GROUP BY up.name)" + f"SELECT a.owner AS row, b.owner AS col, count(*) AS n FROM edges JOIN own a ON a.name = source JOIN own b ON b.name = target WHERE rel IN {_C} AND a.owner <> b.owner GROUP BY ALL",
     "entity_churn": _HUNKS + "SELECT * FROM churn",
     "file_churn": _HUNKS + "SELECT file, count(*) AS hunks FROM hunks GROUP BY file",
+    "rename_matches": _MOVED,
     "search_bm25": rf"""
 , corpus AS (SELECT name, type, docstring FROM nodes UNION ALL SELECT 'docs.' || source || '.d' || doc_id, 'config', text FROM documents
 ), t AS (
@@ -209,23 +272,38 @@ def _diff(old: bool) -> str:
 
 def _two(body: str) -> str:
     """Two graphs as subqueries: v_old_nodes, v_old_edges, v_new_nodes and v_new_edges."""
-    parts = [f"{kind}_{what} AS (WITH {_diff(kind == 'old')} SELECT * FROM {what})" for kind in ("old", "new") for what in ("nodes", "edges")]
+    parts = [f"{kind}_{what} AS MATERIALIZED (WITH {_diff(kind == 'old')} SELECT * FROM {what})" for kind in ("old", "new") for what in ("nodes", "edges")]
     return f"WITH {', '.join(parts)} {body}"
 
 
 _DIFF = {
+    "validate_dangling": f"WITH {graph_sql()}, old_nodes AS MATERIALIZED (WITH {_diff(True)} SELECT name FROM nodes) SELECT source, rel, target, source AS missing FROM edges ANTI JOIN old_nodes ON name = source UNION ALL SELECT source, rel, target, target FROM edges ANTI JOIN old_nodes ON name = target",
     "diff_edges": _two("SELECT *, 'added' AS change FROM (SELECT source, rel, target FROM new_edges EXCEPT SELECT source, rel, target FROM old_edges) UNION ALL SELECT *, 'removed' FROM (SELECT source, rel, target FROM old_edges EXCEPT SELECT source, rel, target FROM new_edges)"),
     "diff_nodes": _two("""
-, o AS (SELECT *, md5(type || '|' || coalesce(cc, -1)) AS h FROM old_nodes), n AS (SELECT *, md5(type || '|' || coalesce(cc, -1)) AS h FROM new_nodes)
-SELECT name, 'added' AS change, cast(null as varchar) AS field, cast(null as varchar) AS before, cast(null as varchar) AS after FROM n WHERE name NOT IN (SELECT name FROM o)
-UNION ALL SELECT name, 'removed', null, null, null FROM o WHERE name NOT IN (SELECT name FROM n)
+, o AS MATERIALIZED (SELECT *, md5(type || '|' || coalesce(cc, -1)) AS h FROM old_nodes), n AS MATERIALIZED (SELECT *, md5(type || '|' || coalesce(cc, -1)) AS h FROM new_nodes)
+SELECT n.name, 'added' AS change, cast(null as varchar) AS field, cast(null as varchar) AS before, cast(null as varchar) AS after FROM n ANTI JOIN o USING (name)
+UNION ALL SELECT o.name, 'removed', null, null, null FROM o ANTI JOIN n USING (name)
 UNION ALL SELECT name, 'changed', 'content_hash', o.h, n.h FROM o JOIN n USING (name) WHERE o.h <> n.h"""),
 }
 
 
+_VARIANTS = {
+    "sdp_violations_layered": (_LAYERED, _Q["sdp_violations"]),
+    "god_classes_catalogue": (_CATALOGUE, _WMC + _CBO + _PARTS + "SELECT class, wmc, cbo, lcom4 FROM wmc JOIN cbo USING (class) JOIN lcom4 USING (class) WHERE wmc >= 20 AND cbo >= 5 AND lcom4 >= 2"),
+    "feature_envy_catalogue": (_CATALOGUE, _Q["feature_envy"]),
+    "lcom4_catalogue": (_CATALOGUE, _PARTS + "SELECT class, lcom4 FROM lcom4"),
+    "cbo_catalogue": (_CATALOGUE, _Q["cbo"]),
+}
+
+
+def _variant(nodes: str, edges: str, body: str) -> str:
+    graph = graph_sql().strip().replace("), nodes AS MATERIALIZED (", "), base_nodes AS MATERIALIZED (").replace("), edges AS MATERIALIZED (", "), base_edges AS MATERIALIZED (")
+    return f"WITH RECURSIVE {graph}, nodes AS MATERIALIZED ({nodes}), edges AS MATERIALIZED ({edges}){_MORE}{'' if body.strip().startswith(',') else ' '}{body.strip()}"
+
+
 def oracle_sql() -> dict[str, str]:
     head = "WITH RECURSIVE " + graph_sql().strip() + _MORE
-    out = {}
+    out = {name: _variant(*graph, body) for name, (graph, body) in _VARIANTS.items()}
     for name, body in _Q.items():
         body = body.strip()
         out[name] = head + ("" if body.startswith(",") else " ") + body

@@ -40,6 +40,27 @@ def _two(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
     return hashed(old), hashed(new)
 
 
+def _catalogue(g: Graph) -> Graph:
+    """Brands as classes and parts as their methods, so that classes are big, coupled and envied."""
+    kind = F.when((F.col("type") == "module") & F.col("name").startswith("cat."), "class").when(F.col("type") == "function", "method").otherwise(F.col("type"))
+    return Graph(g.nodes.withColumn("type", kind), g.edges)
+
+
+def _layered(g: Graph) -> Graph:
+    """Nations import those before them by name, and those of region 0 import all."""
+    keep = (F.col("rel") == "contains") | ((F.col("rel") == "imports") & ((F.col("source") > F.col("target")) | F.col("source").startswith("r0.")))
+    return Graph(g.nodes, g.edges.where(keep))
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
+    """The graph, and the same with brands renamed (parts keep their hashes) and orders moved below an archive of their customer."""
+    g = tables.graph(spark, sf_dir)
+    part = F.when(F.col("type") == "function", F.md5(F.concat_ws("|", "docstring", "cc")))
+    old = g.nodes.withColumn("content_hash", part).withColumn("structure_hash", F.when(F.col("type") == "function", F.md5(F.substring_index("name", ".", -1))))
+    new = F.when(F.col("name").startswith("cat.b"), F.concat(F.lit("cat.x"), F.substring("name", 6, 1000))).when(F.col("type") == "method", F.regexp_replace("name", r"[.](o[0-9]+)$", ".archive.$1")).otherwise(F.col("name"))
+    return Graph(old, g.edges), Graph(old.withColumn("name", new), g.edges)
+
+
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.table(spark, sf_dir, "events")
     start = 1 + 10 * F.floor("value").cast("int")
@@ -95,6 +116,9 @@ def queries() -> dict[str, Query]:
         "usages": _on(lambda g: select.usages(g, select.one(g, "S1"))),
         "about": _on(lambda g: select.about(g, _n0(g))),
         "validate": _on(lambda g: g.validate()),
+        "validate_dangling": lambda s, d: Graph(_two(s, d)[0].nodes, tables.graph(s, d).edges).validate(),
+        "between_edges": _on(lambda g: traverse.between(g, _n0(g), select.one(g, "n1"))[1]),
+        "kcore_innermost": _on(analytics.innermost),
         "scalar_functions": _on(_scalars),
         "transitive_deps": _on(lambda g: traverse.transitive_deps(g, _n0(g)).select("name")),
         "transitive_callers": _on(lambda g: traverse.transitive_callers(g, select.one(g, "p1")).select("name")),
@@ -127,12 +151,21 @@ def queries() -> dict[str, Query]:
         "lcom4": _on(oo.lcom4),
         "martin_metrics": _on(oo.martin),
         "sdp_violations": _on(oo.sdp_violations),
+        "sdp_violations_layered": _on(lambda g: oo.sdp_violations(_layered(g))),
         "god_classes": _on(oo.god_classes),
+        "god_classes_catalogue": _on(lambda g: oo.god_classes(_catalogue(g))),
         "feature_envy": _on(oo.feature_envy),
+        "feature_envy_catalogue": _on(lambda g: oo.feature_envy(_catalogue(g))),
+        "lcom4_catalogue": _on(lambda g: oo.lcom4(_catalogue(g))),
+        "cbo_catalogue": _on(lambda g: oo.cbo(_catalogue(g))),
         "shotgun_surgery": _on(lambda g: oo.shotgun_surgery(g, 3)),
         "deny_rule": _on(lambda g: rules.check_deny(g, "r0.* -[depends_on]-> r1.*")),
         "quantified_rule": _on(lambda g: rules.check_quantified(g, "cat.*", RULES[2].assertion or "").select("name")),
         "check_all": _on(lambda g: rules.check_all(g, RULES, CONCEPTS)),
+        "check_dead_code": _on(lambda g: rules.check_all(g, [rules.Rule("dead", "invariant", invariant="no-dead-code")])),
+        "rule_violations": _on(lambda g: rules.violations(g, RULES, CONCEPTS).select("rule", "type", "message", F.size("witnesses").cast("long").alias("witnesses"))),
+        "concept_candidates": _on(lambda g: concepts.candidates(g, CONCEPTS)),
+        "concept_allowed": _on(lambda g: concepts.allowed_syncs(g, CONCEPTS)),
         "concept_summary": _on(lambda g: concepts.summary(g, CONCEPTS)),
         "concept_dependencies": _on(lambda g: concepts.dependencies(g, CONCEPTS)),
         "dsm_module": _on(dsm),
@@ -140,10 +173,12 @@ def queries() -> dict[str, Query]:
         "node_metrics": _on(report.node_metrics),
         "diff_nodes": lambda s, d: history.diff_nodes(*_two(s, d)),
         "diff_edges": lambda s, d: history.diff_edges(*_two(s, d)),
-        "rename_matches": lambda s, d: history.renames(*_two(s, d)),
+        "rename_matches": lambda s, d: history.renames(*_moved(s, d)),
+        "delta_filter": lambda s, d: select.delta(oo.shotgun_surgery(tables.graph(s, d), 3), history.entity_churn(tables.graph(s, d), hunks(s, d))),
         "entity_churn": lambda s, d: history.entity_churn(tables.graph(s, d), hunks(s, d)),
         "file_churn": lambda s, d: history.file_churn(hunks(s, d)),
         "search_bm25": _search,
+        "search_any": lambda s, d: search.search(search.build_index(g := _corpus(s, d)), g, "brand OR the NOT with", limit=None),
         "context_pack": _on(lambda g: context.pack(g, _n0(g), budget=400)),
     }
 

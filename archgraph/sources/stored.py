@@ -15,7 +15,12 @@ _LINE = "kind string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for
 
 def read_jsonl(spark: SparkSession, path: str) -> Graph:
     """Blank lines and unknown kinds are ignored; an edge whose end is missing is an error."""
-    lines = spark.read.schema(_LINE).json(path)
+    return from_lines(spark.read.text(path))
+
+
+def from_lines(lines: DataFrame) -> Graph:
+    """The graph of JSON lines (value); of several for one node or edge the last stands."""
+    lines = lines.where("trim(value) <> ''").select(F.from_json("value", _LINE).alias("x")).select("x.*")
     later = F.monotonically_increasing_id()
     rows = lines.where("kind in ('node', 'edge')").withColumn("__at", later)
     nodes = rows.where("kind = 'node'").groupBy("name").agg(*(F.max_by(f.name, F.when(F.col(f.name).isNotNull(), F.col("__at"))).alias(f.name) for f in NODE_SCHEMA.fields[1:]))
