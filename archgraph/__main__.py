@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from archgraph.model import COUPLING, Graph
 from archgraph.operators import analytics, concepts, context, history, oo, report, rules, search, select, traverse
 from archgraph.sources import code, export, git, stored
+from archgraph.store import cut
 
 METRICS = {
     "cycles": analytics.find_cycles, "layers": analytics.layers, "layering": analytics.layering_violations, "pagerank": analytics.pagerank, "hits": analytics.hits, "kcore": analytics.kcore,
     "bridges": analytics.bridges, "betweenness": analytics.betweenness, "fan": analytics.fan_in_out, "classes": report.class_metrics, "martin": oo.martin, "sdp": oo.sdp_violations,
-    "god-classes": oo.god_classes, "god-files": oo.god_files, "envy": oo.feature_envy, "shotgun": oo.shotgun_surgery, "dead": oo.dead_code, "hotspots": report.hotspots, "nodes": report.node_metrics,
+    "god-classes": oo.god_classes, "god-files": oo.god_files, "envy": oo.feature_envy, "shotgun": oo.shotgun_surgery, "dead": oo.dead_code, "hotspots": report.hotspots, "innermost": analytics.innermost, "nodes": report.node_metrics,
 }
 
 
@@ -59,6 +60,8 @@ def parser() -> argparse.ArgumentParser:
     add("rule-rm", "name")
     add("concept-add", "name", prefix={"action": "append", "required": True}, sync={"action": "append", "default": []})
     add("concept-rm", "name")
+    add("sync-add", "name", "point")
+    add("sync-rm", "name", "point")
     add("batch", "file")
     return p
 
@@ -81,13 +84,19 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame | None, i
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             before = None
-        sources = code.files(spark, o.root, tuple(o.exclude))
+        sources = there = code.files(spark, o.root, tuple(o.exclude))
         if o.since:
             sources = sources.join(git.changed_files(spark, o.root, o.since), "path", "left_semi")
-        after, skipped = code.scan(sources, into=before)
-        stored.write_parquet(after, f"{base}/next")
+        gone = None
+        if before is not None:  # files of earlier scans that are no more
+            gone = before.nodes.where("file is not null and provenance = 'scan'").selectExpr("file as path").distinct().join(there.select("path"), "path", "left_anti")
+        after, skipped = code.scan(sources, into=before, gone=gone)
+        if before is not None:
+            for r in code.orphans(before, after).limit(o.limit or 1000).collect():
+                print(f"lost: {r['source']} -[{r['rel']}]-> {r['target']}: {r['reason']}", file=sys.stderr)
+        stored.write_parquet(code.stamp_fans(after), f"{base}/next")
         stored.write_parquet(stored.read_parquet(spark, f"{base}/next"), f"{base}/graph")
-        return skipped.groupBy("category").count(), 0
+        return code.diagnosis(skipped), 0
     kept_rules = _declared(stored.read_rules, spark, f"{base}/rules")
     kept_concepts = _declared(stored.read_concepts, spark, f"{base}/concepts")
     if o.command in ("rule-add", "rule-rm"):
@@ -96,7 +105,7 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame | None, i
             if sum(map(bool, (o.deny, o.invariant, o.forall))) != 1:
                 raise rules.RuleError("one of --deny, --invariant and --forall")
             left.append(rules.Rule(o.name, "deny" if o.deny else "invariant" if o.invariant else "quantified", o.deny, o.invariant, o.forall, o.assertion, {}, o.scope))
-            rules.parse_assertion(o.assertion or "") if o.forall else None
+            rules.validate_rule(left[-1])
         stored.write_rules(spark, left, f"{base}/rules")
         return None, 0
     if o.command in ("concept-add", "concept-rm"):
@@ -105,6 +114,12 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame | None, i
             left_c.append(concepts.Concept(o.name, tuple(dict.fromkeys(o.prefix)), tuple(dict.fromkeys(o.sync))))
         stored.write_concepts(spark, left_c, f"{base}/concepts")
         return None, 0
+    if o.command in ("sync-add", "sync-rm"):
+        if o.name not in {c.name for c in kept_concepts}:
+            raise LookupError(f"no such concept: {o.name}")
+        change = lambda c: tuple(dict.fromkeys([*c.sync_points, o.point])) if o.command == "sync-add" else tuple(x for x in c.sync_points if x != o.point)
+        stored.write_concepts(spark, [concepts.Concept(c.name, c.prefixes, change(c)) if c.name == o.name else c for c in kept_concepts], f"{base}/concepts")
+        return None, 0
     if o.command == "rules":
         return spark.createDataFrame([(r.name, r.type, r.pattern or r.invariant or f"{r.selector}: {r.assertion}", r.scope) for r in kept_rules], "name string, type string, what string, scope string"), 0
     if o.command == "concepts":
@@ -114,7 +129,7 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame | None, i
         g = g.scope(o.scope)
     name = select.one(g, o.name) if getattr(o, "name", None) else ""
     if o.command == "check":
-        found = rules.check_all(g, kept_rules, kept_concepts).cache()
+        found = cut(rules.violations(g, kept_rules, kept_concepts), "violations")
         return found, int(not found.isEmpty())
     if o.command == "validate":
         broken = g.validate()
@@ -137,7 +152,7 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame | None, i
         "callers": lambda: traverse.transitive_callers(g, name, o.depth), "impact": lambda: traverse.impact(g, name, COUPLING, o.depth), "ancestors": lambda: traverse.ancestors(g, name, max_depth=o.depth),
         "descendants": lambda: traverse.descendants(g, name, max_depth=o.depth), "path": lambda: traverse.shortest_path(g, name, select.one(g, o.other)),
         "subgraph": lambda: traverse.subgraph(g, name, o.depth, "both", rels).edges.select("source", "rel", "target"), "search": lambda: search.search(search.build_index(g), g, o.text, o.kind, None),
-        "diff": lambda: history.diff_nodes(stored.read_parquet(spark, f"{o.other.rstrip('/')}/graph"), g), "churn": lambda: history.entity_churn(g, history.hunks_from_git(spark, o.root, o.days)),
+        "diff": lambda: history.diff(stored.read_parquet(spark, f"{o.other.rstrip('/')}/graph"), g), "churn": lambda: history.entity_churn(g, history.hunks_from_git(spark, o.root, o.days)),
         "blame": lambda: git.blame(g, o.root, o.file), "concept-report": lambda: concepts.summary(g, kept_concepts),
         "export": lambda: {"json": export.to_json, "text": export.to_text, "mermaid": export.to_mermaid, "dot": export.to_dot, "dsm": lambda g: export.to_dsm(g, o.level)}[o.format](g),
     }[o.command](), 0

@@ -280,20 +280,44 @@ def weak_components(links: DataFrame) -> DataFrame:
             return state
 
 
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """(source, target) of edges that connect what links do without a cycle. Each round joins every part by its least edge to another."""
+    names = _vertices(links)
+    labels = cut(names.select("name", F.col("name").alias("part")), "parts")
+    left, found = links.select("source", "target"), None
+    while True:
+        met = left.join(labels.select(F.col("name").alias("source"), F.col("part").alias("p")), "source").join(labels.select(F.col("name").alias("target"), F.col("part").alias("q")), "target")
+        left = cut(met.where("p <> q").select("source", "target", "p", "q"), "between")
+        if left.isEmpty():
+            return found if found is not None else left.select("source", "target")
+        edge = F.struct("source", "target", "p", "q")
+        least = left.select("p", edge.alias("e")).union(left.select("q", edge)).groupBy("p").agg(F.min("e").alias("e")).select("e.*").distinct()
+        chosen = cut(least, "chosen")
+        found = chosen.select("source", "target") if found is None else found.union(chosen.select("source", "target"))
+        merged = weak_components(chosen.select(F.col("p").alias("source"), F.col("q").alias("target"))).withColumnRenamed("name", "part")
+        labels = cut(labels.join(merged, "part", "left").select("name", F.coalesce("component", "part").alias("part")), "parts")
+        left = left.select("source", "target")
+
+
 def bridges(g: Graph) -> DataFrame:
     """(a, b), a < b: undirected coupling edges whose removal disconnects their ends.
 
-    Beyond the kernel's size, edges are first cut down to two spanning forests' worth per weak
-    component by peeling trees (degree-one vertices), which are bridges all.
+    Beyond the kernel's size, edges are first cut down to a spanning forest and one of the rest, which
+    have the same bridges and at most two edges a vertex; then trees are peeled (degree-one vertices),
+    whose edges are bridges all.
     """
     links = cut(g.links().where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct(), "pairs")
     found = None
+    if not small(links):
+        first = cut(spanning_forest(links), "forest")
+        second = spanning_forest(links.join(first, ["source", "target"], "left_anti"))
+        links = cut(first.union(second), "pairs")
     while not small(links):
         ends = links.select(F.col("source").alias("name")).union(links.select("target"))
         leaves = ends.groupBy("name").count().where("count = 1").select("name")
         peeled = cut(links.join(leaves.withColumnRenamed("name", "source"), "source", "left_semi").union(links.join(leaves.withColumnRenamed("name", "target"), "target", "left_semi")).distinct(), "peeled")
         if peeled.isEmpty():
-            raise ValueError(f"more than {KERNEL_EDGES} edges lie on cycles; bridges of so dense a graph aren't computed")
+            raise ValueError(f"more than {KERNEL_EDGES // 2} vertices lie on cycles; bridges of so large a graph aren't computed")
         found = peeled if found is None else found.union(peeled)
         links = cut(links.join(peeled, ["source", "target"], "left_anti"), "pairs")
     x = Arrays(links)
