@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm.store import arm, cut, table
+from archgraph.llm.store import arm, cut, scratch, table
 from archgraph.llm.text import Words, chunks, list_array, mix, shingle_sets, signed
 
 K, T, ROUNDS = 64, 38, 3
@@ -234,12 +234,11 @@ def link(postings: DataFrame, candidates: DataFrame) -> DataFrame | None:
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
-    return labels
+    return None if labels is None else cut(labels, "linked")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    arm(docs.sparkSession)
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The sketches, (doc_id, rep) of documents in classes of equal sets, and (doc_id, component) of linked classes."""
     sk = cut(sketch(docs), "sketch")
     rows = sk.where("n_shingles > 0 and doc_id is not null").withColumnRenamed("n_shingles", "n")
     repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c1", "c2")).alias("own")).where("k > 1").drop("k")
@@ -251,6 +250,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = posts.select("doc_id").distinct().join(full, "doc_id").dropDuplicates(["doc_id"])
     with_sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id").mapInArrow(_sets, "doc_id long, n long, sig array<int>, shingles binary")
     labels = link(posts, cut(with_sets.dropDuplicates(["doc_id"]), "candidates"))
+    return sk, rep, labels
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    arm(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        sk, rep, labels = linked(docs)
+        for written in (sk, rep) if labels is None else (sk, rep, labels):
+            keep(written)
     out = sk.select("doc_id", "n_shingles").join(rep, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if labels is not None:
         out = out.join(labels.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")

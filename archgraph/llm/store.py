@@ -3,6 +3,9 @@
 `cut` writes a DataFrame as Parquet below `spark.checkpoint.dir` and reads it again. What was
 written survives the loss of executors, is computed once however often it is read, and is
 columnar. Where the session names no folder (tests), one is made below /tmp.
+
+Tables don't outlive their use: what is written inside `scratch` goes at its end, but for what is
+kept, and the rest goes with the application.
 """
 
 from __future__ import annotations
@@ -12,11 +15,19 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Tables of the `scratch` blocks that are open, the innermost last.
+_SCRATCH: list[list[str]] = []
+_FOLDERS: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +44,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "archgraph", f"{name}-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_dir(spark), "archgraph", spark.sparkContext.applicationId)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_at_end, spark, folder)
+    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return found
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that `cut` made and that nothing reads any more."""
+    delete(df.sparkSession, _PATHS.pop(df))
+
+
+def _at_end(spark: SparkSession, folder: str) -> None:
+    try:
+        delete(spark, folder)
+    except (Py4JError, OSError):
+        pass  # Spark's process ended first
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside are deleted at the end, but for those given to the function that it yields."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_PATHS[df])
+        return df
+
+    _SCRATCH.append([])
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:
+        for path in _SCRATCH.pop():
+            if done and path in kept:
+                if _SCRATCH:
+                    _SCRATCH[-1].append(path)
+            else:
+                delete(spark, path)
 
 
 def arm(spark: SparkSession) -> None:

@@ -293,7 +293,13 @@ def test_pipeline_against_its_operators_one_by_one(spark, duck):
     duck.register("p_near", kept)
     clean = duck.sql(f"WITH {substring_dedup.units_sql('p_near')} SELECT doc_id, text FROM l9_out WHERE n_removed = 0 OR regexp_matches(text, '[^\\x20\\x09-\\x0D]')").fetchall()
     got = corpus_pipeline.run(spark, SMALL).collect()
-    sizes = Counter()
-    for r in got:
-        sizes[r["doc_id"]] += r["length"]
-    assert sizes == {i: len(HF.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean}
+    expected = []
+    for i, t in clean:
+        ids = np.array([*HF.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        expected += [(i, k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(expected)
+    bins = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == bins.get(r["sequence_id"], 0)
+        bins[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(bins.values()) <= 4096 and len(bins) == -(-sum(bins.values()) // 4096)
