@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archgraph.llm import line_dedup, near_dedup, packing, quality_classifier, substring_dedup
-from archgraph.llm.store import cut, table
+from archgraph.llm.store import cut, drop, scratch, table
 
 
 def _rewritten(docs: DataFrame, found: DataFrame, removed: int) -> DataFrame:
@@ -87,7 +87,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:  # what a stage wrote on its way goes when its result is written
+            docs = keep(cut(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
