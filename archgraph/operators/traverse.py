@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from archgraph.model import COUPLING, Graph
 from archgraph.store import cut
 
-#: Containment deeper than this is taken for a cycle.
-MAX_DEPTH = 64
-
-
 def _hops(edges: DataFrame, direction: str) -> DataFrame:
     """(here, there) along edges, against them, or both."""
     ahead = edges.select(F.col("source").alias("here"), F.col("target").alias("there"))
@@ -125,7 +121,7 @@ def containment_path(g: Graph, name: str) -> DataFrame:
     """(depth, name): from the node at 0 up to its root. Stops at a repeated node."""
     parents = g.contains()
     path = [name]
-    while len(path) <= MAX_DEPTH:
+    while True:
         up = parents.where(F.col("child") == path[-1]).select("parent").collect()
         if not up or up[0][0] in path:
             break
@@ -136,14 +132,16 @@ def containment_path(g: Graph, name: str) -> DataFrame:
 def ancestry(g: Graph, parents: DataFrame | None = None) -> DataFrame:
     """(name, ancestor, depth) over containment, each node its own ancestor at depth 0.
 
-    Path doubling: after k rounds all ancestors up to 2**k levels are known.
+    Path doubling: after k rounds all ancestors up to 2**k levels are known. It ends when no pair is
+    new, so cycles of containment end it too.
     """
     up = cut((parents or g.edges.where("rel = 'contains'").select(F.col("target").alias("child"), F.col("source").alias("parent")).distinct()), "parents")
     known = cut(up.select(F.col("child").alias("name"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "ancestry")
     reach = 1
-    while reach < MAX_DEPTH:
+    while True:
         further = known.join(known.select(F.col("name").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("depth").alias("more")), "ancestor").where(F.col("depth") == reach)
-        new = cut(further.select("name", F.col("beyond").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("name <> ancestor"), "ancestry")
+        further = further.select("name", F.col("beyond").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("name <> ancestor")
+        new = cut(further.groupBy("name", "ancestor").agg(F.min("depth").alias("depth")).join(known.select("name", "ancestor"), ["name", "ancestor"], "left_anti"), "ancestry")
         if new.isEmpty():
             break
         known = known.union(new)

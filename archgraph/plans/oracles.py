@@ -263,6 +263,16 @@ FROM s""",
 ), c AS (SELECT name, type, len(t) AS length, len(list_filter(t, lambda x: x = 'the')) AS tf, len(list_filter(t, lambda x: x = 'with')) AS banned FROM t
 ), s AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (tf > 0) AS df FROM c)
 SELECT name, type, round_even(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * length / mean)), 6) AS score FROM c, s WHERE tf > 0 AND banned = 0""",
+    "search_any": rf"""
+, corpus AS (SELECT name, type, docstring FROM nodes UNION ALL SELECT 'docs.' || source || '.d' || doc_id, 'config', text FROM documents
+), t AS (
+  SELECT name, type, list_filter(regexp_split_to_array(lower(concat_ws(' ', name, lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '[._]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '\s+', ' ', 'g'))), docstring)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM corpus
+), c AS (SELECT name, type, len(t) AS length, len(list_filter(t, lambda x: x = 'the')) AS tf, len(list_filter(t, lambda x: x = 'p1')) AS tb, len(list_filter(t, lambda x: x = 'with')) AS banned FROM t
+), s AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (tf > 0) AS df, count(*) FILTER (tb > 0) AS db FROM c
+), each AS (
+  SELECT name, type, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * length / mean)) AS score FROM c, s WHERE tf > 0 AND banned = 0
+  UNION ALL SELECT name, type, ln((n - db + 0.5) / (db + 0.5) + 1) * tb * ({K1} + 1) / (tb + {K1} * (1 - {B} + {B} * length / mean)) FROM c, s WHERE tb > 0
+) SELECT name, type, round_even(sum(score), 6) AS score FROM each GROUP BY name, type""",
 }
 
 

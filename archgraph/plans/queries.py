@@ -178,7 +178,7 @@ def queries() -> dict[str, Query]:
         "entity_churn": lambda s, d: history.entity_churn(tables.graph(s, d), hunks(s, d)),
         "file_churn": lambda s, d: history.file_churn(hunks(s, d)),
         "search_bm25": _search,
-        "search_any": lambda s, d: search.search(search.build_index(g := _corpus(s, d)), g, "brand OR the NOT with", limit=None),
+        "search_any": lambda s, d: search.search(search.build_index(g := _corpus(s, d)), g, "p1 OR the NOT with", limit=None),
         "context_pack": _on(lambda g: context.pack(g, _n0(g), budget=400)),
     }
 

@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
@@ -30,8 +31,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+_FOLDERS: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """What an application wrote goes with it, unless Spark's process ended first."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except (Py4JError, OSError):
+        pass
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    path = os.path.join(shared_folder(df.sparkSession), "loops", f"{name}-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(df.sparkSession), "loops", df.sparkSession.sparkContext.applicationId)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_forget, df.sparkSession, folder)
+    path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
