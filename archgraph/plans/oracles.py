@@ -253,6 +253,21 @@ SELECT s.*, round_even(CASE WHEN internal + cross_in + cross_out > 0 THEN cast(c
 FROM s""",
     "concept_dependencies": _CONCEPTS + "SELECT a AS from_concept, b AS to_concept, cast(sum(n) as bigint) AS edges, cast(sum(bad) as bigint) AS unsanctioned, string_agg(rel || ':' || n, ' ' ORDER BY rel) AS rels FROM (SELECT a, b, rel, count(*) AS n, count(*) FILTER (NOT allowed) AS bad FROM crossing GROUP BY ALL) GROUP BY a, b",
     "dsm_module": ", own AS (SELECT up.name, arg_min(ancestor, depth) AS owner FROM up JOIN nodes n ON n.name = ancestor WHERE n.type = 'module' GROUP BY up.name)" + f"SELECT a.owner AS row, b.owner AS col, count(*) AS n FROM edges JOIN own a ON a.name = source JOIN own b ON b.name = target WHERE rel IN {_C} AND a.owner <> b.owner GROUP BY ALL",
+    "hotspots": _WMC + _CBO + _RFC + _LCOM + _MARTIN + _HUNKS + _PAGERANK + """
+, k AS (
+  SELECT class AS name, wmc, cbo, lcom4, rfc, coalesce(r, 0) AS r, coalesce(touches, 0) AS touches FROM wmc JOIN cbo USING (class) JOIN rfc USING (class) JOIN lcom4 USING (class)
+  LEFT JOIN (SELECT * FROM pr WHERE it = 50) p ON p.name = class LEFT JOIN churn ON churn.name = class
+), c AS (
+  SELECT name, 'class' AS type, (CASE WHEN wmc > 20 THEN wmc / 10 ELSE 0 END) + (CASE WHEN cbo > 5 THEN cbo ELSE 0 END) + (CASE WHEN lcom4 > 1 THEN lcom4 * 3.0 ELSE 0 END) + (CASE WHEN rfc > 20 THEN rfc / 5 ELSE 0 END)
+      + (CASE WHEN r > 0.02 THEN r * 50 ELSE 0 END) + (CASE WHEN touches > 10 THEN touches / 5 ELSE 0 END) AS score,
+    concat_ws(', ', CASE WHEN wmc > 20 THEN 'WMC ' || wmc END, CASE WHEN cbo > 5 THEN 'CBO ' || cbo END, CASE WHEN lcom4 > 1 THEN 'LCOM4 ' || lcom4 END, CASE WHEN rfc > 20 THEN 'RFC ' || rfc END,
+      CASE WHEN r > 0.02 THEN printf('pagerank %.3f', r) END, CASE WHEN touches > 10 THEN touches || ' touches' END) AS reasons FROM k
+), f AS (
+  SELECT n.name, n.type, (CASE WHEN touches > 5 THEN touches / 5 ELSE 0 END) + (CASE WHEN coalesce(cc, 1) > 10 THEN coalesce(cc, 1) / 5 ELSE 0 END) AS score,
+    concat_ws(', ', CASE WHEN touches > 5 THEN touches || ' touches' END, CASE WHEN coalesce(cc, 1) > 10 THEN 'complexity ' || coalesce(cc, 1) END) AS reasons FROM nodes n JOIN churn USING (name) WHERE n.type IN ('function', 'method')
+), every_ AS (
+  SELECT * FROM c WHERE score > 0 UNION ALL SELECT module, n.type, distance * 5, printf('distance %.2f', distance) FROM martin JOIN nodes n ON n.name = module WHERE distance > 0.7 UNION ALL SELECT * FROM f WHERE score > 2.0
+) SELECT name, type, cast(round_even(cast(cast(cast(score as double) as varchar) as decimal(38, 20)), 2) as double) AS score, reasons FROM every_""",
     "entity_churn": _HUNKS + "SELECT * FROM churn",
     "file_churn": _HUNKS + "SELECT file, count(*) AS hunks FROM hunks GROUP BY file",
     "rename_matches": _MOVED,
