@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archgraph.llm.store import arm, cut, table
+from archgraph.llm.store import arm, cut, scratch, table
 from archgraph.llm.text import U64, Words, chunks, flat, inverse_powers, list_array, mix, powers, signed
 
 WORDS, GRAM = 50, 16
@@ -110,7 +110,7 @@ PASSAGE = ["gram", "context", "doc_id", "lo", "n", "left", "suffix", "before"]
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted contexts' words, as hashes that sort like bytes: from the position on, and before it, the nearest first."""
+    """The wanted contexts' words, as hashes that sort like bytes: those behind the 16-gram, and those before it, the nearest first."""
     for batch in batches:
         for part in chunks(batch):
             words = Words(part.column("text"))
@@ -124,10 +124,10 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = words.row_at[np.array(rows, np.int64)] + lo
             # Of rows that repeat a doc_id, those that have the context there.
             mine = np.flatnonzero(signed(contexts(words, begin, n, gram.view(np.uint64))) == context) if len(wanted) else np.zeros(0, np.int64)
-            at, end = begin + left, begin + n + WORDS - 1
+            at, rest, end = begin + left, begin + left + GRAM, begin + n + WORDS - 1
             columns = [
                 pa.array(gram[mine]), pa.array(context[mine]), part.column("doc_id").take(pa.array(np.array(rows, np.int64)[mine])), pa.array(lo[mine], pa.int32()), pa.array(n[mine], pa.int32()), pa.array(left[mine], pa.int32()),
-                pa.array([h[at[i] : end[i]].tobytes() for i in mine], pa.binary()), pa.array([h[begin[i] : at[i]][::-1].tobytes() for i in mine], pa.binary()),
+                pa.array([h[rest[i] : end[i]].tobytes() for i in mine], pa.binary()), pa.array([h[begin[i] : at[i]][::-1].tobytes() for i in mine], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=PASSAGE)
 
@@ -149,27 +149,27 @@ class Sorted:
         number = lambda name: rows.column(name).to_numpy()
         join = lambda name: rows.column(name).combine_chunks() if rows.num_rows else pa.array([], pa.binary())
         gram, left, n = number("gram"), number("left").astype(np.int64), number("n").astype(np.int64)
-        right, size = _matrix(join("suffix"), 2 * WORDS)
+        right, size = _matrix(join("suffix"), WORDS)  # behind the 16-gram
         before, _ = _matrix(join("before"), WORDS)
         m = rows.num_rows
         common = np.zeros(m, np.int64)  # words in common with the row before, from the position on
         if m > 1:
-            same = (right[1:] == right[:-1]) & (np.arange(2 * WORDS) < np.minimum(size[1:], size[:-1])[:, None])
-            common[1:] = np.where(gram[1:] == gram[:-1], np.logical_and.accumulate(same, axis=1).sum(axis=1), 0)
+            same = (right[1:] == right[:-1]) & (np.arange(WORDS) < np.minimum(size[1:], size[:-1])[:, None])
+            common[1:] = np.where(gram[1:] == gram[:-1], GRAM + np.logical_and.accumulate(same, axis=1).sum(axis=1), 0)
         depth = np.arange(WORDS + 1)
         starts = np.where(common[:, None] < depth, np.arange(m)[:, None], 0)
         run = np.maximum.accumulate(starts, axis=0)  # [i, d]: first row of those that agree with row i on d words
         leftward = np.zeros((m, WORDS + 1), np.uint64)  # [i, k]: hash of the k words before
         np.cumsum(before * powers(WORDS), axis=1, out=leftward[:, 1:])
-        rightward = np.zeros((m, 2 * WORDS + 1), np.uint64)
-        np.cumsum(right * powers(2 * WORDS), axis=1, out=rightward[:, 1:])
+        rightward = np.zeros((m, WORDS + 1), np.uint64)
+        np.cumsum(right * powers(WORDS), axis=1, out=rightward[:, 1:])
 
         self.row = np.repeat(np.arange(m), n)
         self.t = np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)
         reach = left[self.row] - self.t  # words that the window has before the position
         self.before = mix(leftward[self.row, reach] + U64(1) + reach.astype(np.uint64))
         self.run = run[self.row, WORDS - reach] * (WORDS + 1) + reach
-        self.hash = mix(self.before + mix(rightward[self.row, WORDS - reach] + gram[self.row].view(np.uint64)))
+        self.hash = mix(self.before + mix(rightward[self.row, WORDS - reach - GRAM] + gram[self.row].view(np.uint64)))
         self.place = number("doc_id")[self.row], number("lo")[self.row] + self.t
         self.bounds = np.concatenate([[0], np.cumsum(n)])
 
@@ -269,6 +269,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _matched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What `_neighbours` finds among the wanted contexts, sorted over the cluster."""
+    passages = cut(docs.join(wanted, "doc_id").mapInArrow(_passages, "gram long, context long, doc_id long, lo int, n int, left int, suffix binary, before binary"), "passages")
+    array = passages.repartitionByRange("gram", F.expr("substring(suffix, 1, 16)")).sortWithinPartitions("gram", "suffix", "before", "context")
+    return array.mapInArrow(partial(_neighbours, block=BLOCK), MATCH)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     arm(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -281,9 +288,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     several = common.where("kinds > 1").select("first.doc_id", F.struct("gram", "context", "first.lo", "n", "left").alias("c"))
     wanted = several.groupBy("doc_id").agg(F.collect_list("c").alias("wanted"))  # at most the document's suffixes
-    passages = cut(docs.join(wanted, "doc_id").mapInArrow(_passages, "gram long, context long, doc_id long, lo int, n int, left int, suffix binary, before binary"), "passages")
-    array = passages.repartitionByRange("gram", "suffix").sortWithinPartitions("gram", "suffix", "before", "context")
-    matched = cut(array.mapInArrow(partial(_neighbours, block=BLOCK), MATCH), "matched")
+    with scratch(docs.sparkSession) as keep:
+        matched = keep(cut(_matched(docs, wanted), "matched"))
 
     each = matched.where("w is not null").select("context", "doc_id", "lo", F.posexplode("w").alias("i", "w")).select("context", "w", "i", F.struct("doc_id", (F.col("lo") + F.col("i")).alias("at")).alias("place"))
     same = each.groupBy("w").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
