@@ -15,15 +15,16 @@ _MORE = f"""
 ), classes AS (SELECT name AS class FROM nodes WHERE type = 'class'
 )"""
 #: Strong components: whatever reaches each other among vertices with a way in and out.
-_SCC = """
+_TRIMS = 12
+_TRIM = "".join(f", inner{k} AS MATERIALIZED (SELECT * FROM inner{k - 1} WHERE source IN (SELECT target FROM inner{k - 1}) AND target IN (SELECT source FROM inner{k - 1}))\n" for k in range(1, _TRIMS + 1))
+_SCC = f"""
 , vertices AS (SELECT source AS name FROM links UNION SELECT target FROM links
-), inner_ AS (SELECT * FROM links WHERE source IN (SELECT target FROM links) AND target IN (SELECT source FROM links) AND source <> target
-), inner2 AS (SELECT * FROM inner_ WHERE source IN (SELECT target FROM inner_) AND target IN (SELECT source FROM inner_)
-), reach(a, b) AS (SELECT source, target FROM inner2 UNION SELECT reach.a, i.target FROM reach JOIN inner2 i ON i.source = reach.b
+), inner0 AS MATERIALIZED (SELECT * FROM links WHERE source <> target)
+{_TRIM}, reach(a, b) AS (SELECT source, target FROM inner{_TRIMS} UNION SELECT reach.a, i.target FROM reach JOIN inner{_TRIMS} i ON i.source = reach.b
 ), mutual AS (SELECT x.a AS name, x.b AS other FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a
-), scc AS (SELECT v.name, least(v.name, coalesce(min(m.other), v.name)) AS scc FROM vertices v LEFT JOIN mutual m ON m.name = v.name GROUP BY v.name
-), dag AS (SELECT DISTINCT s.scc AS s, t.scc AS t FROM links JOIN scc s ON s.name = source JOIN scc t ON t.name = target WHERE s.scc <> t.scc
-), core AS (SELECT s, t FROM dag WHERE s IN (SELECT t FROM dag)
+), scc AS MATERIALIZED (SELECT v.name, least(v.name, coalesce(min(m.other), v.name)) AS scc FROM vertices v LEFT JOIN mutual m ON m.name = v.name GROUP BY v.name
+), dag AS MATERIALIZED (SELECT DISTINCT s.scc AS s, t.scc AS t FROM links JOIN scc s ON s.name = source JOIN scc t ON t.name = target WHERE s.scc <> t.scc
+), core AS MATERIALIZED (SELECT s, t FROM dag WHERE s IN (SELECT t FROM dag)
 ), climb(scc, layer) AS (SELECT DISTINCT t, 0 FROM dag UNION SELECT d.s, layer + 1 FROM climb JOIN core d ON d.t = climb.scc
 ), low AS (SELECT scc, max(layer) AS layer FROM climb GROUP BY scc
 ), height AS (SELECT scc, layer FROM low UNION ALL SELECT scc.scc, coalesce(max(low.layer) + 1, 0) FROM (SELECT DISTINCT scc FROM scc) scc LEFT JOIN dag ON s = scc.scc LEFT JOIN low ON low.scc = dag.t WHERE scc.scc NOT IN (SELECT scc FROM low) GROUP BY scc.scc
