@@ -7,7 +7,7 @@ that occurs earlier as a whole line is removed whatever its length, so repeated
 too. Of other later units, runs of neighbours with 25 words or more are removed, so that short
 clauses which two documents have by chance inside their lines do no harm. What is removed
 reaches from the end of the word before to the end of the run; its offsets in the original text
-are kept as spans.
+are kept as spans. The words of the longest span tell passages from short lines.
 
 Nulls and edges: a null text stays null, a null doc_id is left as it is, texts without words have
 no unit. Rows that repeat a doc_id count as one document: their units of equal place are one
@@ -99,7 +99,7 @@ def _without(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.Recor
             words = Words(part.column(where), lower=True)
             found = units(words)
             old = part.column(where).to_pylist()
-            new, lost, spans = list(old), [0] * len(old), [""] * len(old)
+            new, lost, longest, spans = list(old), [0] * len(old), [0] * len(old), [""] * len(old)
             for r, later in enumerate(part.columns[-1].to_pylist()):
                 if not later or old[r] is None:
                     continue
@@ -115,6 +115,7 @@ def _without(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.Recor
                     first = int(found.first[u0 + a])
                     last = int(found.first[u0 + b] + found.size[u0 + b]) - 1
                     lost[r] += last - first + 1
+                    longest[r] = max(longest[r], last - first + 1)
                     begin = int(words.end[first - 1]) - b0 if first > w0 else 0
                     end = int(words.end[last]) - b0
                     kept.append(raw[at:begin])
@@ -122,7 +123,7 @@ def _without(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.Recor
                     said.append(f"{point[int(words.start[first]) - b0]}-{point[end]}")
                 new[r], spans[r] = b"".join([*kept, raw[at:]]).decode(), " ".join(said)
             columns = [pa.array(new, pa.string()) if i == where else c for i, c in enumerate(part.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(words.row_at), pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.string())], names=[*part.schema.names[:-1], "words", "removed", "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(words.row_at), pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.string()), pa.array(longest, pa.int64())], names=[*part.schema.names[:-1], "words", "removed", "spans", "longest"])
 
 
 def later_units(docs: DataFrame) -> DataFrame:
@@ -137,20 +138,20 @@ def later_units(docs: DataFrame) -> DataFrame:
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, text cleaned, and three more behind them: words, how many of them went, and the spans that went.
+    """docs with the same columns, text cleaned, and four more behind them: words, how many of them went, the spans that went, and the words of the longest.
 
-    These are `__words`, `__removed` and `__spans`, with underscores added where docs has such columns.
+    These are `__words`, `__removed`, `__spans` and `__longest`, with underscores added where docs has such columns.
     """
     arm(docs.sparkSession)
     rows, doc, text = plain(docs)
     later = later_units(rows.select(F.col(f"c{doc}").alias("doc_id"), F.col(f"c{text}").alias("text"))).withColumnRenamed("doc_id", "doc")
     joined = rows.join(later, F.col(f"c{doc}").cast("long") == F.col("doc"), "left").drop("doc")
-    schema = T.StructType([*rows.schema.fields, T.StructField("words", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.StringType())])
-    return joined.mapInArrow(partial(_without, where=text), schema).toDF(*docs.columns, *unused(docs.columns, "__words", "__removed", "__spans"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("words", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("spans", T.StringType()), T.StructField("longest", T.LongType())])
+    return joined.mapInArrow(partial(_without, where=text), schema).toDF(*docs.columns, *unused(docs.columns, "__words", "__removed", "__spans", "__longest"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).toDF("doc_id", "text", "n_words", "n_removed", "spans")
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")).toDF("doc_id", "text", "n_words", "n_removed", "spans", "longest_removed")
 
 
 def units_sql(source: str) -> str:
@@ -188,15 +189,15 @@ l9_tok AS (
   SELECT doc_id, min(unit) AS u0, max(unit) AS u1, min(a) AS a, max(b) AS b, sum(words) AS words
   FROM (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM l9_gone) GROUP BY doc_id, island
 ), l9_spans AS (
-  SELECT doc_id, string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ' ' ORDER BY a) AS spans, CAST(sum(words) AS BIGINT) AS gone FROM l9_runs GROUP BY doc_id
+  SELECT doc_id, string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ' ' ORDER BY a) AS spans, CAST(sum(words) AS BIGINT) AS gone, CAST(max(words) AS BIGINT) AS longest FROM l9_runs GROUP BY doc_id
 ), l9_kept AS (
   SELECT t.doc_id, count(*) AS n_words, coalesce(string_agg(t.tok, '' ORDER BY t.i) FILTER (r.doc_id IS NULL), '') AS body
   FROM l9_unit t LEFT JOIN l9_runs r ON r.doc_id = t.doc_id AND t.unit BETWEEN r.u0 AND r.u1 GROUP BY t.doc_id
 ), l9_out AS (
   SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE k.body || regexp_extract(d.text, '[\x20\x09-\x0D]*$') END AS text,
-    coalesce(k.n_words, 0) AS n_words, coalesce(s.gone, 0) AS n_removed, coalesce(s.spans, '') AS spans
+    coalesce(k.n_words, 0) AS n_words, coalesce(s.gone, 0) AS n_removed, coalesce(s.spans, '') AS spans, coalesce(s.longest, 0) AS longest_removed
   FROM {source} d LEFT JOIN l9_kept k USING (doc_id) LEFT JOIN l9_spans s USING (doc_id)
 )"""
 
 
-OP9_SQL = f"WITH {units_sql('documents')} SELECT doc_id, text, n_words, n_removed, spans FROM l9_out"
+OP9_SQL = f"WITH {units_sql('documents')} SELECT doc_id, text, n_words, n_removed, spans, longest_removed FROM l9_out"

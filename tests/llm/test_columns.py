@@ -39,7 +39,7 @@ def test_figures_get_free_names(clashing):
         key=str,
     )
     found = substring_dedup.dedup_substrings(clashing)
-    assert found.columns == [*clashing.columns, "__words_", "__removed_", "__spans_"]
+    assert found.columns == [*clashing.columns, "__words_", "__removed_", "__spans_", "__longest"]
     assert {(r["doc_id"], r["text"], r["__removed_"]) for r in found.collect()} == {(1, SAME, 0), (2, "own", 12), (3, None, 0), (4, "", 0), (None, SAME, 0), (5, "", 12), (6, " \n", 0)}
 
 
