@@ -145,3 +145,8 @@ def entity_churn(g: Graph, hunks: DataFrame) -> DataFrame:
 def file_churn(hunks: DataFrame) -> DataFrame:
     """(file, hunks)."""
     return hunks.groupBy("file").agg(F.count(F.lit(1)).alias("hunks"))
+
+
+def churn_summary(hunks: DataFrame) -> DataFrame:
+    """One row: commits, files and hunks in all."""
+    return hunks.agg(F.countDistinct("commit").alias("commits"), F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("hunks"))

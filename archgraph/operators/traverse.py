@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archgraph.model import COUPLING, Graph
+from archgraph.model import COUPLING, Graph, coupling
 from archgraph.store import cut
 
 def _hops(edges: DataFrame, direction: str) -> DataFrame:
@@ -109,10 +109,13 @@ def between(g: Graph, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     return shortest_path(g, a, b), direct.select("source", "rel", "target")
 
 
-def subgraph(g: Graph, name: str, depth: int = 2, direction: str = "both", rels: tuple[str, ...] | None = None) -> Graph:
-    """What lies within depth hops, and the edges (of the same relationships) among it."""
+def subgraph(g: Graph, name: str, depth: int = 2, direction: str = "both", rels: tuple[str, ...] | None = None, most: int | None = None) -> Graph:
+    """What lies within depth hops, and the edges (of the same relationships) among it. `most`: a picture of so many nodes, those with the most edges after the start."""
     edges = g.edges.where(F.col("rel").isin(*rels)) if rels else g.edges
     near = levels(edges, g.nodes.where(F.col("name") == name).select("name"), direction, depth).select("name")
+    if most is not None:
+        ends = edges.select(F.col("source").alias("name")).union(edges.select("target")).groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
+        near = near.join(ends, "name", "left").orderBy(F.col("name") != name, F.desc_nulls_last("degree"), "name").limit(most).select("name")
     inside = edges.join(near.withColumnRenamed("name", "source"), "source", "left_semi").join(near.withColumnRenamed("name", "target"), "target", "left_semi") if depth else edges.where("false")
     return Graph(g.nodes.join(near, "name", "left_semi"), inside.select(*g.edges.columns))
 
@@ -160,3 +163,27 @@ def containing(g: Graph, types: tuple[str, ...] = ("module", "package")) -> Data
     """(name, owner): the nearest node of these types that contains a node; a node of the type is its own."""
     kinds = g.nodes.where(F.col("type").isin(*types)).select(F.col("name").alias("ancestor"))
     return ancestry(g).join(kinds, "ancestor").groupBy("name").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("owner"))
+
+
+def module_ranking(g: Graph) -> DataFrame:
+    """(module, incoming, outgoing): coupling edges that enter and leave each module, by the nearest module of their ends."""
+    own = cut(containing(g, ("module",)), "owners")
+    met = g.links().join(own.select(F.col("name").alias("source"), F.col("owner").alias("a")), "source").join(own.select(F.col("name").alias("target"), F.col("owner").alias("b")), "target").where("a <> b")
+    ends = met.select(F.col("a").alias("module"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(met.select("b", F.lit(1), F.lit(0)))
+    return ends.groupBy("module").agg(F.sum("i").alias("incoming"), F.sum("o").alias("outgoing"))
+
+
+def card(g: Graph, name: str, shown: int = 10) -> DataFrame:
+    """(section, position, text, hidden) about a node: its path of containment, rings by distance, and edges by direction and relationship.
+
+    Of edges the first `shown` are listed, and how many are hidden.
+    """
+    path = containment_path(g, name).select(F.lit("path").alias("section"), F.col("depth").alias("position"), F.col("name").alias("text"), F.lit(0).cast("long").alias("hidden"))
+    coupled = g.edges.where(coupling())
+    rings = levels(coupled, g.nodes.where(F.col("name") == name).select("name"), "both", 3).where("depth > 0").groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    rings = rings.select(F.lit("ring"), F.col("depth"), F.format_string("%d nodes", "n"), F.lit(0).cast("long"))
+    ahead = g.edges.where(F.col("source") == name).select(F.concat(F.lit("out "), "rel").alias("section"), F.col("target").alias("text"))
+    edges = ahead.union(g.edges.where(F.col("target") == name).select(F.concat(F.lit("in "), "rel"), "source"))
+    ranked = edges.selectExpr("section", "cast(row_number() over (partition by section order by text) as int) as position", "text", "count(*) over (partition by section) as n")
+    listed = ranked.where(F.col("position") <= shown).select("section", "position", "text", F.greatest(F.col("n") - shown, F.lit(0)).alias("hidden"))
+    return path.union(rings).union(listed)

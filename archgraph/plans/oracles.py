@@ -269,6 +269,20 @@ FROM s""",
 ), every_ AS (
   SELECT * FROM c WHERE score > 0 UNION ALL SELECT module, n.type, distance * 5, printf('distance %.2f', distance) FROM martin JOIN nodes n ON n.name = module WHERE distance > 0.7 UNION ALL SELECT * FROM f WHERE score > 2.0
 ) SELECT name, type, cast(round_even(cast(cast(cast(score as double) as varchar) as decimal(38, 20)), 2) as double) AS score, reasons FROM every_""",
+    "module_ranking": """
+, own AS MATERIALIZED (SELECT up.name, arg_min(ancestor, depth) AS owner FROM up JOIN nodes n ON n.name = ancestor WHERE n.type = 'module' GROUP BY up.name
+), cross_ AS (SELECT a.owner AS a, b.owner AS b FROM links JOIN own a ON a.name = source JOIN own b ON b.name = target WHERE a.owner <> b.owner
+) SELECT module, count(*) FILTER (side = 'i') AS incoming, count(*) FILTER (side = 'o') AS outgoing FROM (SELECT a AS module, 'o' AS side FROM cross_ UNION ALL SELECT b, 'i' FROM cross_) GROUP BY module""",
+    "node_card": f"""
+, both_ AS MATERIALIZED (SELECT source AS a, target AS b FROM links UNION SELECT target, source FROM links
+), ring(name, depth) AS (SELECT {_N0}, 0 UNION SELECT b, depth + 1 FROM ring JOIN both_ ON a = ring.name WHERE depth < 3
+), far AS (SELECT name, min(depth) AS depth FROM ring GROUP BY name HAVING min(depth) > 0
+), near_ AS (SELECT 'out ' || rel AS section, target AS text FROM edges WHERE source = {_N0} UNION ALL SELECT 'in ' || rel, source FROM edges WHERE target = {_N0}
+), ranked AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY text) AS position, text, count(*) OVER (PARTITION BY section) AS n FROM near_)
+SELECT 'path' AS section, cast(depth as int) AS position, ancestor AS text, cast(0 as bigint) AS hidden FROM up WHERE name = {_N0}
+UNION ALL SELECT 'ring', cast(depth as int), count(*) || ' nodes', 0 FROM far GROUP BY depth
+UNION ALL SELECT section, cast(position as int), text, greatest(n - 5, 0) FROM ranked WHERE position <= 5""",
+    "churn_summary": _HUNKS + "SELECT count(DISTINCT commit) AS commits, count(DISTINCT file) AS files, count(*) AS hunks FROM hunks",
     "entity_churn": _HUNKS + "SELECT * FROM churn",
     "file_churn": _HUNKS + "SELECT file, count(*) AS hunks FROM hunks GROUP BY file",
     "rename_matches": _MOVED,

@@ -113,6 +113,8 @@ def queries() -> dict[str, Query]:
         "entry_points": _on(lambda g: g.nodes.select("name", select.is_entry_point().alias("entry"))),
         "degrees": _on(select.degrees),
         "overview_top10": _on(lambda g: select.overview(g, 10)),
+        "module_ranking": _on(traverse.module_ranking),
+        "node_card": _on(lambda g: traverse.card(g, _n0(g), 5)),
         "usages": _on(lambda g: select.usages(g, select.one(g, "S1"))),
         "about": _on(lambda g: select.about(g, _n0(g))),
         "validate": _on(lambda g: g.validate()),
@@ -176,6 +178,7 @@ def queries() -> dict[str, Query]:
         "rename_matches": lambda s, d: history.renames(*_moved(s, d)),
         "delta_filter": lambda s, d: select.delta(oo.shotgun_surgery(tables.graph(s, d), 3), history.entity_churn(tables.graph(s, d), hunks(s, d))),
         "entity_churn": lambda s, d: history.entity_churn(tables.graph(s, d), hunks(s, d)),
+        "churn_summary": lambda s, d: history.churn_summary(hunks(s, d)),
         "file_churn": lambda s, d: history.file_churn(hunks(s, d)),
         "search_bm25": _search,
         "search_any": lambda s, d: search.search(search.build_index(g := _corpus(s, d)), g, "p1 OR the NOT with", limit=None),
