@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from archgraph.adapters import tables
 from archgraph.model import Graph
 from archgraph.operators import history
+from tests.conftest import SMALL
 
 
 def shuffled(spark) -> int:
@@ -13,9 +15,31 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
+def plans(spark, since: int = 0) -> list[str]:
+    """The physical plans of the session's executions."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(since, found.size())]
+
+
 def test_churn_of_entities_on_the_same_lines(spark):
     g = Graph.of(spark, [{"name": f"e{i}", "type": "method", "file": "f", "line": 1, "end_line": 10} for i in range(500)], [])
     hunks = spark.createDataFrame([(f"c{i}", "f", 5, 6) for i in range(2000)] + [("c0", "f", 1, 2), ("d", "f", 11, 12)], "commit string, file string, start_line int, end_line int")
     before = shuffled(spark)
     assert {r[1] for r in history.entity_churn(g, hunks).collect()} == {2000}
     assert shuffled(spark) - before < 500_000  # the million pairs of entities and hunks are not shuffled
+
+
+def test_nodes_are_ingested_without_edges(spark):
+    """Differences of nodes read no lines but to count them."""
+    before = len(plans(spark))
+    assert tables.graph(spark, SMALL, "o_orderkey <> 1").nodes.where("type = 'method'").count() == tables.table(spark, SMALL, "orders").count() - 1
+    assert not [p for p in plans(spark, before) if "l_suppkey" in p]
+
+
+def test_renames_broadcast_nothing(spark):
+    def graph(infix: str) -> Graph:
+        return Graph.of(spark, [{"name": f"a.b.c{i}{infix}.d{i}", "type": "method"} for i in range(50)] + [{"name": f"{infix[1:]}.p{i}", "type": "function", "content_hash": f"c{i}", "structure_hash": f"s{i}"} for i in range(9)], [])
+
+    before = len(plans(spark))
+    assert history.renames(graph(".x"), graph(".x.y")).count() == 59
+    assert not [p for p in plans(spark, before) if "BroadcastExchange" in p]
