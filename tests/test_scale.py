@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from archgraph.adapters import tables
 from archgraph.model import Graph
-from archgraph.operators import history
+from archgraph.operators import analytics, history
 from tests.conftest import SMALL
 
 
@@ -43,3 +47,32 @@ def test_renames_broadcast_nothing(spark):
     before = len(plans(spark))
     assert history.renames(graph(".x"), graph(".x.y")).count() == 59
     assert not [p for p in plans(spark, before) if "BroadcastExchange" in p]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_kernels_in_a_task(spark, monkeypatch, seed):
+    """Beyond the driver's size one task computes what the driver would, without supersteps."""
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(40)]
+    edges = sorted({(rng.choice(names), "calls", rng.choice(names)) for _ in range(50)} | {("x", "calls", "x"), ("n1", "calls", "n2"), ("n2", "calls", "n1")})
+    operators = (analytics.components, analytics.layers, analytics.find_cycles, analytics.minimal_cycles, analytics.kcore, analytics.bridges, analytics.layering_violations)
+    g = Graph.of(spark, [{"name": n, "type": "class"} for n in [*names, "x"]], edges)
+    want = [sorted(map(tuple, f(g).collect())) for f in operators]
+    ranks = {r[0]: r[1] for r in analytics.pagerank(g).collect()}, {r[0]: (r[1], r[2]) for r in analytics.hits(g).collect()}
+    monkeypatch.setattr(analytics, "KERNEL_EDGES", 40)
+    for name in ("_colored", "spanning_forest"):
+        monkeypatch.setattr(analytics, name, None)
+    assert want == [sorted(map(tuple, f(g).collect())) for f in operators]
+    assert {r[0]: r[1] for r in analytics.pagerank(g).collect()} == pytest.approx(ranks[0])
+    found = {r[0]: (r[1], r[2]) for r in analytics.hits(g).collect()}
+    assert found.keys() == ranks[1].keys() and all(found[n] == pytest.approx(ranks[1][n], abs=2e-6) for n in found)
+
+
+def test_bridges_beyond_a_task(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = sorted({(f"n{rng.randrange(25)}", "calls", f"n{rng.randrange(25)}") for _ in range(70)}) + [("n1", "calls", "t1"), ("t1", "calls", "t2"), ("n2", "calls", "u1")]
+    g = Graph.of(spark, [], edges)
+    want = sorted(map(tuple, analytics.bridges(g).collect()))
+    monkeypatch.setattr(analytics, "KERNEL_EDGES", 20)
+    monkeypatch.setattr(analytics, "TASK_EDGES", 55)
+    assert want and want == sorted(map(tuple, analytics.bridges(g).collect()))
