@@ -8,7 +8,7 @@ import pytest
 
 from archgraph.adapters import tables
 from archgraph.model import Graph
-from archgraph.operators import analytics, history
+from archgraph.operators import analytics, history, report, traverse
 from tests.conftest import SMALL
 
 
@@ -76,3 +76,23 @@ def test_bridges_beyond_a_task(spark, monkeypatch):
     monkeypatch.setattr(analytics, "KERNEL_EDGES", 20)
     monkeypatch.setattr(analytics, "TASK_EDGES", 55)
     assert want and want == sorted(map(tuple, analytics.bridges(g).collect()))
+
+
+def test_closures_scan_once_a_level(spark, monkeypatch):
+    g = Graph.of(spark, [{"name": f"n{i}", "type": "function"} for i in range(8)], [(f"n{i}", "calls", f"n{i + 1}") for i in range(7)] + [("n7", "calls", "n5")])
+    before = len(plans(spark))
+    want = sorted(map(tuple, traverse.closure(g, "n2", ("calls",), "out").collect()))
+    assert want == [(f"n{i}", i - 2) for i in range(3, 8)]
+    assert len(plans(spark, before)) < 12
+    monkeypatch.setattr(traverse, "LOCAL", 3)
+    assert want == sorted(map(tuple, traverse.closure(g, "n2", ("calls",), "out").collect()))
+
+
+def test_hotspots_count_betweenness(spark):
+    """A tree of classes beside another component; only the first can pass the threshold."""
+    classes = [f"c{i}" for i in range(9)]
+    edges = [(f"c{i}", "inherits", "c0") for i in range(1, 9)] + [("f", "calls", "g")]
+    g = Graph.of(spark, [{"name": c, "type": "class"} for c in classes] + [{"name": x, "type": "function"} for x in "fg"], edges)
+    found = {r["name"]: r["reasons"] for r in report.hotspots(g).collect()}
+    assert "betweenness 0.622" in found["c0"]  # 8 * 7 of 10 * 9
+    assert not any("betweenness" in found.get(c, "") for c in classes[1:])
