@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,26 +24,21 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+#: Anchors, at most, that are told by a predicate each instead of a join.
+ANCHORS = 64
 _PREFIXES = "transform(sequence(1, size(split(name, '[.]'))), i -> array_join(slice(split(name, '[.]'), 1, i), '.'))"
 
 
 def members(g: Graph, concepts: list[Concept]) -> DataFrame:
     """(name, concept): nodes below an anchor, the topmost packages and modules under a concept's prefixes.
 
-    A node of two concepts is an error. Concepts are declarations, a handful: each is a predicate.
+    A node of two concepts is an error. Concepts are declarations, a handful: up to ANCHORS anchors, each is a predicate.
     """
-    prefixes = F.expr(_PREFIXES)
-    owned = None
-    for c in concepts:
-        anchors = g.nodes.where("type in ('package', 'module')").where(_any([under(F.col("name"), p) for p in c.prefixes])).select("name")
-        # Topmost: no other anchor is a dotted prefix of it.
-        nested = anchors.select("name", F.explode(prefixes).alias("top")).where("top <> name").join(anchors.select(F.col("name").alias("top")), "top", "left_semi").select("name")
-        tops = anchors.join(nested, "name", "left_anti").select(F.col("name").alias("anchor"))
-        parts = g.nodes.select("name", F.explode(prefixes).alias("anchor"))
-        mine = parts.join(tops, "anchor", "left_semi").select("name", F.lit(c.name).alias("concept"))
-        owned = mine if owned is None else owned.union(mine)
-    if owned is None:
-        return g.spark.createDataFrame([], "name string, concept string")
+    tops = _tops(g, concepts)
+    named = _named(tops)
+    if named is not None:
+        return g.nodes.select("name", named(F.col("name")).alias("concept")).where("concept is not null")
+    owned = g.nodes.select("name", F.explode(F.expr(_PREFIXES)).alias("anchor")).join(tops, "anchor").select("name", "concept")
     owned = cut(owned.distinct(), "members")
     twice = owned.groupBy("name").count().where("count > 1").limit(1).collect()
     if twice:
@@ -50,10 +46,40 @@ def members(g: Graph, concepts: list[Concept]) -> DataFrame:
     return owned
 
 
+def _tops(g: Graph, concepts: list[Concept]) -> DataFrame:
+    """(anchor, concept)."""
+    found = g.spark.createDataFrame([], "anchor string, concept string")
+    for c in concepts:
+        anchors = g.nodes.where("type in ('package', 'module')").where(_any([under(F.col("name"), p) for p in c.prefixes])).select("name")
+        # Topmost: no other anchor is a dotted prefix of it.
+        nested = anchors.select("name", F.explode(F.expr(_PREFIXES)).alias("top")).where("top <> name").join(anchors.select(F.col("name").alias("top")), "top", "left_semi").select("name")
+        found = found.union(anchors.join(nested, "name", "left_anti").select(F.col("name").alias("anchor"), F.lit(c.name).alias("concept")))
+    return cut(found.distinct(), "anchors")
+
+
+def _named(tops: DataFrame) -> Callable[[Column], Column] | None:
+    """The concept of a node by its name alone, if there are few anchors. Anchors are nodes, so concepts overlap where anchors do."""
+    few = [tuple(r) for r in tops.limit(ANCHORS + 1).collect()]
+    if len(few) > ANCHORS:
+        return None
+    for a, c in few:
+        for b, d in few:
+            if c != d and (a == b or a.startswith(f"{b}.")):
+                raise ValueError(f"{a} belongs to several concepts")
+    by_name = lambda name, c: _any([under(name, a) for a, d in few if d == c])
+    return lambda name: F.coalesce(F.lit(None).cast("string"), *(F.when(by_name(name, c), c) for c in sorted({c for _, c in few})))
+
+
 def _touching(g: Graph, concepts: list[Concept], own: DataFrame | None = None) -> DataFrame:
-    """All edges but containment with the concepts of both ends, where at least one has one."""
+    """All edges but containment with the concepts of both ends, where at least one has one.
+
+    In a closed graph an end's concept is told by its name; else only ends that are nodes have one.
+    """
+    edges = g.relations.select("source", "rel", "target")
+    if g.closed and (named := _named(_tops(g, concepts))):
+        met = edges.select("*", named(F.col("source")).alias("a"), named(F.col("target")).alias("b"))
+        return met.where("a is not null or b is not null")
     own = members(g, concepts) if own is None else own
-    edges = g.edges.where("rel <> 'contains'").select("source", "rel", "target")
     met = edges.join(own.select(F.col("name").alias("source"), F.col("concept").alias("a")), "source", "left").join(own.select(F.col("name").alias("target"), F.col("concept").alias("b")), "target", "left")
     return met.where("a is not null or b is not null")
 

@@ -54,7 +54,8 @@ def parse_deny(pattern: str) -> tuple[str, tuple[str, ...], str]:
 def check_deny(g: Graph, pattern: str, scope: str | None = None) -> DataFrame:
     """(source, rel, target) of every edge that the pattern forbids; a scope restricts the sources."""
     a, rels, b = parse_deny(pattern)
-    hits = g.edges.where(F.col("rel").isin(*rels)).where(glob(F.col("source"), a) & glob(F.col("target"), b))
+    edges = g.edges if "contains" in rels else g.relations
+    hits = edges.where(F.col("rel").isin(*rels)).where(glob(F.col("source"), a) & glob(F.col("target"), b))
     if scope:
         hits = hits.where(under(F.col("source"), scope))
     return hits.select("source", "rel", "target")
@@ -192,7 +193,8 @@ def check(g: Graph, rule: Rule, groups: list[concepts.Concept] | None = None) ->
     elif rule.type == "quantified":
         found = check_quantified(g, rule.selector or "", rule.assertion or "", rule.scope).select(F.lit("predicate").alias("kind"), F.col("name").alias("witness"))
     elif rule.type == "invariant":
-        sub = g.scope(rule.scope) if rule.scope else g
+        whole = g if rule.invariant == "no-dead-code" or not rule.scope else Graph(g.nodes, g.relations)  # the others don't ask for containment
+        sub = whole.scope(rule.scope) if rule.scope else whole
         if rule.invariant == "no-cycles":
             cycles = analytics.minimal_cycles(sub).groupBy("scc").agg(F.sort_array(F.collect_list(F.struct("step", "name"))).alias("s"))
             found = cycles.select(F.lit("cycle").alias("kind"), F.concat_ws(" -> ", F.col("s.name")).alias("witness"))
@@ -203,7 +205,7 @@ def check(g: Graph, rule: Rule, groups: list[concepts.Concept] | None = None) ->
                 entries = hit if entries is None else entries.union(hit)
             found = oo.dead_code(sub, entries).select(F.lit("node").alias("kind"), F.col("name").alias("witness"))
         elif rule.invariant == "no-layering-violations":
-            found = analytics.layering_violations(sub).select(F.lit("edge").alias("kind"), F.format_string("%s -[%s]-> %s", "source", "rel", "target").alias("witness"))
+            found = analytics.cyclic_edges(sub).select(F.lit("edge").alias("kind"), F.format_string("%s -[%s]-> %s", "source", "rel", "target").alias("witness"))
         elif rule.invariant == "concept-boundaries":
             if not groups:
                 raise RuleError("concept-boundaries needs a concept")
@@ -224,15 +226,28 @@ def check_all(g: Graph, rules: list[Rule], groups: list[concepts.Concept] | None
     return out
 
 
+def _message() -> Column:
+    return F.format_string("%s is violated by %d", "rule", "n")
+
+
+def summary(g: Graph, rules: list[Rule], groups: list[concepts.Concept] | None = None) -> DataFrame:
+    """(rule, type, message, witnesses) of each violated rule, with the number of its witnesses; none are collected."""
+    rows = check_all(g, rules, groups).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("rule", _types(rules), _message().alias("message"), F.col("n").alias("witnesses"))
+
+
+def _types(rules: list[Rule]) -> Column:
+    names = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.type))) if rules else F.expr("map()").cast("map<string,string>")
+    return F.element_at(names, F.col("rule")).alias("type")
+
+
 def violations(g: Graph, rules: list[Rule], groups: list[concepts.Concept] | None = None) -> DataFrame:
     """One row per violated rule: rule, type, message, witnesses, and edges, nodes and cycles among them; those that it has none of are null."""
-    kinds = {r.name: r.type for r in rules}
     found = check_all(g, rules, groups)
     of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("witness"))))
     some = lambda kind: F.when(F.size(of(kind)) > 0, of(kind))
-    names = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)) if kinds else F.expr("map()").cast("map<string,string>")
     rows = found.groupBy("rule").agg(
         F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("kind", "witness"))).alias("witnesses"), some("edge").alias("edges"),
         F.coalesce(some("node"), some("predicate")).alias("nodes"), some("cycle").alias("cycles"),
     )
-    return rows.select("rule", F.element_at(names, F.col("rule")).alias("type"), F.format_string("%s is violated by %d", "rule", "n").alias("message"), "witnesses", "edges", "nodes", "cycles")
+    return rows.select("rule", _types(rules), _message().alias("message"), "witnesses", "edges", "nodes", "cycles")

@@ -8,7 +8,8 @@ import pytest
 
 from archgraph.adapters import tables
 from archgraph.model import Graph
-from archgraph.operators import analytics, history, report, traverse
+from archgraph.operators import analytics, concepts, history, report, rules, traverse
+from archgraph.plans import queries
 from tests.conftest import SMALL
 
 
@@ -96,3 +97,28 @@ def test_hotspots_count_betweenness(spark):
     found = {r["name"]: r["reasons"] for r in report.hotspots(g).collect()}
     assert "betweenness 0.622" in found["c0"]  # 8 * 7 of 10 * 9
     assert not any("betweenness" in found.get(c, "") for c in classes[1:])
+
+
+def test_concepts_are_told_by_names(spark, monkeypatch):
+    """No node or edge is shuffled for its concept; with many anchors the join gives the same."""
+    g = tables.graph(spark, SMALL)
+    found = concepts.crossings(g, queries.CONCEPTS)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in concepts.members(g, queries.CONCEPTS)._jdf.queryExecution().executedPlan().toString()
+    want, own = sorted(map(tuple, found.collect())), sorted(map(tuple, concepts.members(g, queries.CONCEPTS).collect()))
+    monkeypatch.setattr(concepts, "ANCHORS", 3)
+    assert want and want == sorted(map(tuple, concepts.crossings(g, queries.CONCEPTS).collect()))
+    assert own == sorted(map(tuple, concepts.members(g, queries.CONCEPTS).collect()))
+
+
+def test_concepts_of_ends_that_are_no_nodes(spark):
+    g = Graph.of(spark, [{"name": n, "type": "module"} for n in ("a", "b", "ab")] + [{"name": "a.x", "type": "class"}], [("a.x", "calls", "b"), ("a.x", "calls", "b.gone"), ("ab", "calls", "b")])
+    groups = [concepts.Concept("a", ("a",)), concepts.Concept("b", ("b",))]
+    assert [tuple(r) for r in concepts.crossings(g, groups).select("source", "target").collect()] == [("a.x", "b")]
+
+
+def test_rules_ask_for_no_containment(spark):
+    """Rules that don't name containment don't write it."""
+    g = tables.graph(spark, SMALL, "o_orderkey <> 2")
+    assert rules.check_all(g, queries.RULES, queries.CONCEPTS).count()
+    assert g._found.keys() == {"nodes", "relations"}
