@@ -122,3 +122,11 @@ def test_rules_ask_for_no_containment(spark):
     g = tables.graph(spark, SMALL, "o_orderkey <> 2")
     assert rules.check_all(g, queries.RULES, queries.CONCEPTS).count()
     assert g._found.keys() == {"nodes", "relations"}
+
+
+def test_violations_are_counted(spark):
+    """Witnesses of a rule are not collected into one row to be counted."""
+    before = len(plans(spark))
+    found = {r["rule"]: r["witnesses"] for r in queries.queries()["rule_violations"](spark, SMALL).collect()}
+    assert not [p for p in plans(spark, before) if "collect_list" in p]
+    assert found == {r["rule"]: len(r["witnesses"]) for r in rules.violations(tables.graph(spark, SMALL), queries.RULES, queries.CONCEPTS).collect()}
