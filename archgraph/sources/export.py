@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from archgraph.functions.scalars import identifier
 from archgraph.model import COUPLING, Graph
-from archgraph.operators.traverse import ancestry
+from archgraph.operators.traverse import containing
 
 
 def _in_order(*parts: DataFrame) -> DataFrame:
@@ -58,10 +58,9 @@ def to_dot(g: Graph) -> DataFrame:
 
 def dsm_cells(g: Graph, level: str = "module") -> DataFrame:
     """(row, col, n): coupling edges between the nearest modules (or classes, or nodes: `all`) of their ends, without the diagonal."""
-    edges = g.edges.where(F.col("rel").isin(*COUPLING)).select("source", "target")
+    edges = g.relations.where(F.col("rel").isin(*COUPLING)).select("source", "target")
     if level != "all":
-        kinds = g.nodes.where(F.col("type") == level).select(F.col("name").alias("ancestor"))
-        near = ancestry(g).join(kinds, "ancestor").groupBy("name").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("owner"))
+        near = containing(g, (level,))
         edges = edges.join(near.select(F.col("name").alias("source"), F.col("owner").alias("row")), "source").join(near.select(F.col("name").alias("target"), F.col("owner").alias("col")), "target")
     else:
         edges = edges.select(F.col("source").alias("row"), F.col("target").alias("col"))

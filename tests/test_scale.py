@@ -130,3 +130,27 @@ def test_violations_are_counted(spark):
     found = {r["rule"]: r["witnesses"] for r in queries.queries()["rule_violations"](spark, SMALL).collect()}
     assert not [p for p in plans(spark, before) if "collect_list" in p]
     assert found == {r["rule"]: len(r["witnesses"]) for r in rules.violations(tables.graph(spark, SMALL), queries.RULES, queries.CONCEPTS).collect()}
+
+
+@pytest.mark.parametrize("levels", (0, 1, 2, 8))
+def test_owners_are_handed_down(spark, monkeypatch, levels):
+    """Shared and deep containers, a cycle, and modules in modules: as the ancestry of all says, at any number of rounds."""
+    monkeypatch.setattr(traverse, "LEVELS", levels)
+    chain = [(f"x{i}", "contains", f"x{i + 1}") for i in range(6)]
+    edges = [("m", "contains", "x0"), *chain, ("n", "contains", "x2"), ("a", "contains", "x2"), ("m", "contains", "n"), ("x6", "contains", "x4"), ("o", "contains", "lost"), ("o", "contains", "o"), ("x6", "calls", "m")]
+    g = Graph.of(spark, [{"name": n, "type": "module"} for n in "amn"] + [{"name": f"x{i}", "type": "class"} for i in range(7)] + [{"name": "o", "type": "class"}], edges)
+    found = sorted(map(tuple, traverse.containing(g).collect()))
+    assert found == [("a", "a"), ("m", "m"), ("n", "n"), ("x0", "m"), ("x1", "m"), *((f"x{i}", "a") for i in range(2, 7))]
+
+
+def test_owners_ask_only_for_containment(spark):
+    """The nearest module takes no other edge, and no pairs of all ancestors."""
+    g = tables.graph(spark, SMALL, "o_orderkey <> 3")
+    before = shuffled(spark)
+    g.nodes, g.containment
+    ingested = shuffled(spark) - before
+    assert traverse.containing(g).count() == g.nodes.count()
+    assert "relations" not in g._found
+    ancestry = shuffled(spark)
+    assert traverse.ancestry(g).count()
+    assert ancestry - before - ingested < 0.7 * (shuffled(spark) - ancestry)
