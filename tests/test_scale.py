@@ -173,3 +173,14 @@ def test_search_in_one_scan(spark, tmp_path):
             assert one == other, query
             hits += len(one)
     assert hits > 20
+
+
+@pytest.mark.parametrize("name", ("search_bm25", "search_any"))
+def test_search_reads_no_edges_and_shuffles_no_postings(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "_STORED", {})
+    before, began = shuffled(spark), len(plans(spark))
+    assert queries.queries()[name](spark, SMALL).count()
+    g = tables.graph(spark, SMALL)
+    assert not g._found  # neither nodes nor edges had to be written
+    assert shuffled(spark) - before < 300_000
+    assert sum("documents.parquet" in p for p in plans(spark, began)) == 1
